@@ -37,14 +37,14 @@ def _counter(path: str):
 
 def _counts(path: str, distinct: list[str]) -> np.ndarray:
     tokenizer, known = _counter(path)
-    new = [u for u in distinct if u not in known]
-    found = {}
+    counts = [known.get(u) for u in distinct]
+    new = [k for k, n in enumerate(counts) if n is None]
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
-        found |= zip(part, (len(e) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-    out = np.fromiter((found[u] if u in found else known[u] for u in distinct), np.int64, len(distinct))
-    known.keep(found)
-    return out
+        for k, e in zip(part, tokenizer.encode_batch_fast([distinct[k] for k in part], add_special_tokens=False)):
+            counts[k] = n = len(e.ids)
+            known.keep(distinct[k], n)
+    return np.array(counts, np.int64)
 
 
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:

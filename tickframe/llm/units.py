@@ -18,7 +18,7 @@ _RUN = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}][ \n]"
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n])")
 
 #: Texts are gathered to batches of about this many bytes before they are encoded.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def balanced(batches, column: str = "text", most: int = BATCH_BYTES):
@@ -59,13 +59,19 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-class Memory(dict):
-    """A cache of bounded size: emptied when full."""
+class Memory:
+    """A cache of bounded size in two generations: when the young one is full it becomes the old one, which is dropped."""
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
+    def __init__(self, most: int = 300_000):
+        self.most, self.young, self.old = most, {}, {}
 
-    def keep(self, items) -> None:
-        if len(self) > self.most:
-            self.clear()
-        self.update(items)
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def keep(self, key, value) -> None:
+        self.young[key] = value
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
