@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,9 @@ class Materialized:
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_delete, spark, self.path)
+        # the job's shuffle files go when the driver has collected its plan; without this hint they stay for the session
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
     def drop(self) -> None:
         _delete(self.spark, self.path)

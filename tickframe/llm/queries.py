@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op2_tokens, op6_lines, op7_pieces
+from . import op10_mix, op1_substring, op2_tokens, op3_jaccard, op6_lines, op7_pieces
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op2_token_counts": op2_tokens.op2_token_counts,
+    "op3_ngram_jaccard": op3_jaccard.op3_ngram_jaccard,
     "op6_line_dedup": op6_lines.op6_line_dedup,
     "op7_sentencepiece": op7_pieces.op7_sentencepiece,
+    "op10_mix": op10_mix.op10_mix,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": op1_substring.ORACLE_SQL,
+    "op3_ngram_jaccard": op3_jaccard.op3_ngram_jaccard,
     "op6_line_dedup": op6_lines.ORACLE_SQL,
 }
