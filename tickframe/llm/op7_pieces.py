@@ -207,9 +207,9 @@ def digests(decoded: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                lists = part.column("ids").cast(pa.large_list(pa.int32()))
-                names = pa.LargeListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), lists.flatten().cast(pa.large_string()))
-                joined = pc.binary_join(names, ",").cast(pa.large_binary())
+                lists = part.column("ids").cast(pa.list_(pa.int32()))
+                names = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), lists.flatten().cast(pa.string()))
+                joined = pc.binary_join(names, ",").cast(pa.binary())
                 sha = [hashlib.sha256(x).hexdigest() for x in joined.to_pylist()]
                 text = [hashlib.sha256(x).hexdigest() for x in part.column("text").cast(pa.binary()).to_pylist()]
                 size = pc.list_value_length(lists).cast(pa.int64())
