@@ -12,8 +12,10 @@ once. A signature that several sets of a slice have is sent once too, and the me
 holds at most one entry a slice of any signature. Signatures found twice become rows (signature, set).
 
 Rows are not paired with each other. Each is paired with the least document of its signature only, and these pairs are
-verified exactly on whole texts and merged to components. Only signatures some of whose members are then still apart are
-paired further, between members of different components, so no link between different texts is lost.
+verified exactly on whole texts and merged to components. Only signatures some of whose members are then still apart go
+on, so no link between different texts is lost: if they have few members, those of different components are paired; the
+members of larger ones are grouped by the signatures they share and compared in tiles of bounded size, each of which
+returns a forest of the links it finds and no pairs.
 
 Nulls: a null or blank text has an empty set and links with nothing; rows with a null doc_id link with nothing and have no
 component. Rows that share a doc_id are one document for linking. Other columns are ignored.
@@ -33,6 +35,8 @@ from . import common, units, words
 from .components import components
 
 _LOW40 = np.uint64((1 << 40) - 1)
+#: Members up to which a signature's documents are paired; those of larger ones are compared in tiles.
+PAIRED = 16
 
 
 class Rule:
@@ -237,6 +241,66 @@ def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long").distinct()
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, by products of incidence matrices."""
+    values = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column = np.unique(values, return_inverse=True)
+    first = row < len(a)
+    wide = column.max(initial=-1) + 1
+    both = (np.bincount(column[first], minlength=wide) > 0) & (np.bincount(column[~first], minlength=wide) > 0)
+    keep = both[column]
+    number = np.cumsum(both) - 1
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(both.sum()), step):
+        i, j = np.searchsorted(column, [at, at + step])
+        x = np.zeros((len(a) + len(b), step), np.float32)
+        x[row[i:j], column[i:j] - at] = 1
+        out += x[: len(a)] @ x[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _tile(rule: Rule):
+    def run(key, rows):
+        docs, texts = rows["doc"].to_pylist(), rows["text"].to_pylist()
+        side = (rows["block"].to_numpy() == key[1].as_py()).tolist()
+        sets = rule.shingles([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+        a = [i for i, x in enumerate(side) if x]
+        b = a if key[1].as_py() == key[2].as_py() else [i for i, x in enumerate(side) if not x]
+        if not a or not b:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        same = _common([sets[i] for i in a], [sets[i] for i in b])
+        size = np.array([len(s) for s in sets])
+        linked = (rule.den * same >= rule.num * (size[a][:, None] + size[b][None, :] - same)) & (same > 0)
+        label = np.arange(len(docs))  # least number reachable, until it no longer changes
+        x, y = np.nonzero(linked)
+        x, y = np.array(a)[x], np.array(b)[y]
+        while len(x):
+            low = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            if (new == label).all():
+                break
+            label = new
+        hung = np.flatnonzero(label != np.arange(len(docs)))
+        return pa.table({"u": pa.array([docs[i] for i in hung], pa.int64()), "v": pa.array([docs[label[i]] for i in hung], pa.int64())})
+
+    return run
+
+
+def _compare(members: DataFrame, docs: DataFrame, rule: Rule, block: int = 384) -> DataFrame:
+    """Links (u, v) that connect what is linked within each group of members (doc, group)."""
+    size = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / float(block)).alias("blocks"))
+    dealt = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc")
+    rows = dealt.join(docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc"), "doc").select("group", "low", "high", "block", "doc", "text")
+    return rows.groupBy("group", "low", "high").applyInArrow(_tile(rule), "u long, v long").where("u <> v").distinct()
+
+
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), one row for each input row.
 
@@ -276,10 +340,20 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     if not apart.isEmpty():
         torn = starred.join(apart, ["doc", "pivot"], "left_semi").select("key").distinct()
         members = common.materialize(part_of(shared.join(torn, "key", "left_semi"), "doc", "c")).df
-        other = members.select("key", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-        rest = members.withColumnRenamed("doc", "x").join(other, "key").where("x < y AND c <> d").where(fit).select("x", "y").distinct()
+        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        members = common.materialize(members.join(size, "key")).df
+        few = members.where(F.col("size") <= PAIRED)
+        other = few.select("key", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
+        rest = few.withColumnRenamed("doc", "x").join(other, "key").where("x < y AND c <> d").where(fit).select("x", "y").distinct()
         rest = common.materialize(reps(rest).join(pairs, ["a", "b"], "left_anti")).df
-        more = common.materialize(_verify(rest, docs, rule)).df
+        more = _verify(rest, docs, rule)
+        many = members.where(F.col("size") > PAIRED).select("key", "doc")
+        if not many.isEmpty():
+            many = many.join(rep.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"))
+            hung = many.join(many.groupBy("key").agg(F.min("doc").alias("v")), "key").select(F.col("doc").alias("u"), "v").distinct()
+            groups = common.materialize(components(hung)).df
+            more = more.unionByName(_compare(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), docs, rule))
+        more = common.materialize(more).df
         if not more.isEmpty():
             part = common.materialize(components(links.unionByName(joined).unionByName(more))).df
     out = info.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
