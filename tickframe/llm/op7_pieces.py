@@ -175,47 +175,60 @@ class Pieces:
         return pa.array([data[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
 
-def sentencepiece_encode(documents: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids (no begin or end ids), one row for each input row. model: path of a .model file."""
+def encoded(model: str):
+    """Record batches (doc_id, text) to (doc_id, ids)."""
 
-    def encode(batches):
+    def run(batches):
         pieces = Pieces.load(model)
         for b in units.balanced(batches):
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pieces.encode(b.column("text")).cast(pa.list_(pa.int32()))})
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return docs.mapInArrow(encode, "doc_id long, ids array<int>")
+    return run
 
 
-def sentencepiece_decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, text, one row for each input row."""
+def decoded(model: str):
+    """Record batches (doc_id, ids) to (doc_id, ids, text)."""
 
-    def decode(batches):
+    def run(batches):
         pieces = Pieces.load(model)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "text": pieces.decode(part.column("ids"))})
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, text string")
+    return run
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the text."""
+def digested(batches):
+    """Record batches (doc_id, ids, text) to the number of ids and the SHA-256 of ids (decimal, joined by commas) and text."""
+    for b in batches:
+        lists = b.column("ids").cast(pa.list_(pa.int32()))
+        names = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), lists.flatten().cast(pa.string()))
+        joined = pc.binary_join(names, ",").cast(pa.binary())
+        sha = [hashlib.sha256(x).hexdigest() for x in joined.to_pylist()]
+        text = [hashlib.sha256(x).hexdigest() for x in b.column("text").cast(pa.binary()).to_pylist()]
+        size = pc.list_value_length(lists).cast(pa.int64())
+        yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": size, "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(text, pa.string())})
+
+
+def _docs(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+
+
+def sentencepiece_encode(documents: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids (no begin or end ids), one row for each input row. model: path of a .model file."""
+    return _docs(documents).mapInArrow(encoded(model), "doc_id long, ids array<int>")
+
+
+def sentencepiece_decode(tokens: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids, text, one row for each input row."""
+    return tokens.select("doc_id", "ids").mapInArrow(decoded(model), "doc_id long, ids array<int>, text string")
 
-    def digest(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                lists = part.column("ids").cast(pa.list_(pa.int32()))
-                names = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), lists.flatten().cast(pa.string()))
-                joined = pc.binary_join(names, ",").cast(pa.binary())
-                sha = [hashlib.sha256(x).hexdigest() for x in joined.to_pylist()]
-                text = [hashlib.sha256(x).hexdigest() for x in part.column("text").cast(pa.binary()).to_pylist()]
-                size = pc.list_value_length(lists).cast(pa.int64())
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": size, "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(text, pa.string())})
 
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def sentencepiece_digest(documents: DataFrame, model: str) -> DataFrame:
+    """Encoding, decoding and digests in one pass of one worker: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    encode, decode = encoded(model), decoded(model)
+    return _docs(documents).mapInArrow(lambda batches: digested(decode(encode(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:
@@ -225,5 +238,4 @@ def default_model() -> str:
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    model = default_model()
-    return digests(sentencepiece_decode(sentencepiece_encode(common.table(spark, sf_dir, "documents"), model), model))
+    return sentencepiece_digest(common.table(spark, sf_dir, "documents"), default_model())
