@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op10_mix, op1_substring, op2_tokens, op3_jaccard, op5_descent, op6_lines, op7_pieces
+from . import op10_mix, op1_substring, op2_tokens, op3_jaccard, op4_lempel_ziv, op5_descent, op6_lines, op7_pieces
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op2_token_counts": op2_tokens.op2_token_counts,
     "op3_ngram_jaccard": op3_jaccard.op3_ngram_jaccard,
+    "op4_lempel_ziv": op4_lempel_ziv.op4_lempel_ziv,
     "op5_embedding_dedup": op5_descent.op5_embedding_dedup,
     "op6_line_dedup": op6_lines.op6_line_dedup,
     "op7_sentencepiece": op7_pieces.op7_sentencepiece,
