@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op10_mix, op1_substring, op2_tokens, op3_jaccard, op4_lempel_ziv, op5_descent, op6_lines, op7_pieces
+from . import op10_mix, op1_substring, op2_tokens, op3_jaccard, op4_lempel_ziv, op5_descent, op6_lines, op7_pieces, op8_quotes, op9_language
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_embedding_dedup": op5_descent.op5_embedding_dedup,
     "op6_line_dedup": op6_lines.op6_line_dedup,
     "op7_sentencepiece": op7_pieces.op7_sentencepiece,
+    "op8_quotation_linking": op8_quotes.op8_quotation_linking,
+    "op9_language_id": op9_language.op9_language_id,
     "op10_mix": op10_mix.op10_mix,
 }
 ORACLE_SQL = {
