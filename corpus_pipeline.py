@@ -1,12 +1,75 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
+
+language     rejects documents without text in a known language
+lines        cuts lines that many documents repeat
+near_copies  keeps the document with the least doc_id of each group of linked ones
+mix          takes each document as often as the sources' target weights ask for
+pieces       encodes what is left
+"""
 
 from __future__ import annotations
 
-from tickframe.llm import op6_lines
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickframe.llm import common, op3_jaccard, op6_lines, op7_pieces, op9_language, op10_mix
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language of the corpus; `lang` is the declared language, the source stands for the host."""
+    model = op9_language.fit(docs.select("text", "lang"))
+    if not model.languages:
+        return docs.where("false").select(*COLUMNS)
+    found = op9_language.identify(docs.select(*COLUMNS), model, declared="lang", host="source")
+    return found.where("NOT rejected").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Frequent lines cut from the texts, n_chars counted anew; a document stays even if none of its lines does."""
+    cut = op6_lines.line_dedup(docs, extra=("lang", "source"))
+    return cut.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the least doc_id; documents that link with nothing stay."""
+    found = op3_jaccard.jaccard_components(docs, width=5, num=80, den=100)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    taken = op10_mix.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    # rows that agree in doc_id, source and size share their copies evenly, the first ones taking what is left over
+    sized = docs.select(*COLUMNS, op10_mix.size_of("text").alias("size"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))
+    joined = sized.join(taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies", "rows"), same)
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("text"))
+    each = F.floor(F.col("copies") / F.col("rows")) + F.when(number <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return joined.withColumn("each", each.cast("int")).where("each > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("each")))).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digests of the ids of every document taken, and of the text they decode to."""
+    return op7_pieces.sentencepiece_digest(docs, op7_pieces.default_model())
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("pieces", pieces)]
 
-STAGES: list = []
+#: Language models, random rounding and tokenisation are not expressible; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; the tables between them lie in the shared folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    out = f"{common.shared_dir(spark)}/corpus-pipeline/{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{out}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

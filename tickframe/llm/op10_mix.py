@@ -34,9 +34,14 @@ def _uniform(*parts) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52))).cast("double") / float(1 << 52)
 
 
+def size_of(text: str) -> Column:
+    """Words of a text column."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(documents: DataFrame) -> DataFrame:
     """doc_id, source, size (words) of every row."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size"))
 
 
 def targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:

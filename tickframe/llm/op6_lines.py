@@ -35,16 +35,16 @@ def _lines(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, text (of the lines left), n_lines, n_dropped, one row for each input row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (of the lines left), n_lines, n_dropped and the columns of extra, one row for each input row."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *extra)
 
     def keys(batches):
         for b in batches:
             found = [list({h for x in set(_lines(t)) if (h := _key(x, min_chars))}) for t in b.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "keys": pa.array(found, pa.list_(pa.binary()))})
 
-    held = docs.where("doc_id IS NOT NULL").mapInArrow(keys, "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key"))
+    held = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(keys, "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key"))
     # count(distinct) would shuffle every row; rows repeat a doc_id rarely, so a cheap upper bound comes first
     often = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.max("doc_id").alias("last")).where(F.col("n_rows") >= min_docs).drop("n_rows")
     in_often = held.join(often, "key")
@@ -65,9 +65,10 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
                 else:
                     dropped.append(0)
                 texts.append(t or "")
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string()), "n_lines": pa.array(sizes, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), **{c: b.column(c) for c in extra}, "text": pa.array(texts, pa.string()), "n_lines": pa.array(sizes, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
-    return docs.join(drop, "doc_id", "left").select("doc_id", "text", "drop").mapInArrow(cut, "doc_id long, text string, n_lines long, n_dropped long")
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
+    return docs.join(drop, "doc_id", "left").select("doc_id", *extra, "text", "drop").mapInArrow(cut, f"doc_id long, {kept}text string, n_lines long, n_dropped long")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
