@@ -1,6 +1,313 @@
-"""The query catalog: every engine query with its DuckDB counterpart."""
+"""The query catalog: every engine query with its DuckDB counterpart, by operator group."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import analytics
+from ..sources import adapter
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Inventory ids that each query covers.
+COVERS: dict[str, str] = {}
+
+
+def frames(spark: SparkSession, sf_dir: str, names: set[str]) -> dict[str, DataFrame]:
+    own = {"pawn": adapter.pawn, "damage": adapter.damage}
+    return {n: own[n](spark, sf_dir) if n in own else adapter.read(spark, sf_dir, n) for n in names}
+
+
+def _duck(sql: str) -> str:
+    used = set(re.findall(r"\{(\w+)\}", sql))
+    text = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+    if not used & {"pawn", "damage"}:
+        return text
+    head = re.match(r"(?i)with\s+(recursive\s+)?", text)
+    ctes = adapter.CTES.replace("WITH", "WITH RECURSIVE", 1) if head and head[1] else adapter.CTES
+    return f"{ctes}, {text[head.end():]}" if head else f"{ctes} {text}"
+
+
+def sql(name: str, ids: str, text: str, duck: str | None = None) -> None:
+    """A query written in SQL; `duck` where DuckDB's dialect differs."""
+    used = set(re.findall(r"\{(\w+)\}", text))
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(text, **frames(spark, sf_dir, used))
+    ORACLE_SQL[name] = _duck(duck or text)
+    COVERS[name] = ids
+
+
+def plan(name: str, ids: str, duck: str | None):
+    """A query written as a DataFrame plan over the named tables (its parameters)."""
+
+    def add(f):
+        used = f.__code__.co_varnames[: f.__code__.co_argcount]
+        QUERIES[name] = lambda spark, sf_dir: f(**frames(spark, sf_dir, set(used)))
+        COVERS[name] = ids
+        if duck:
+            ORACLE_SQL[name] = _duck(duck)
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- analytics over the logs
+
+_HITS = "hits AS (SELECT d.tick, d.damage, p.\"cellX\" AS cx, p.\"cellY\" AS cy FROM {damage} d JOIN {pawn} p ON d.tick = p.tick AND d.entindex_victim = p.entity_index WHERE d.damage > 0 AND p.\"cellX\" IS NOT NULL)"
+_GRID = _HITS + ", grid AS (SELECT CAST(floor((cx * 128.0 - 16384.0) / 1000) AS BIGINT) AS grid_x, CAST(floor((cy * 128.0 - 16384.0) / 1000) AS BIGINT) AS grid_y, CAST(sum(damage) AS BIGINT) AS damage, count(*) AS events FROM hits GROUP BY 1, 2)"
+_LIVES = """kept AS (SELECT * FROM {pawn} WHERE delta_type IN ('create', 'update', 'delete')),
+numbered AS (SELECT *, sum(CASE WHEN delta_type = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_index ORDER BY tick, seq) AS life_id FROM kept),
+flagged AS (SELECT *, coalesce(max(CASE WHEN delta_type = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM numbered WHERE life_id > 0),
+lives AS (SELECT * FROM flagged WHERE ended = 0)"""
+_TEAM = "CASE WHEN {0} = 2 THEN 'Amber' WHEN {0} IS NOT NULL THEN 'Sapphire' END"
+_LANE = "CASE WHEN {0} * 128.0 - 16384.0 < -1530 THEN 'Yellow' WHEN {0} * 128.0 - 16384.0 > 1530 THEN 'Green' WHEN {0} IS NOT NULL THEN 'Blue' END"
+
+
+@plan("damage_hotspot_grid", "J1 J2 J3 A1", f"WITH {_GRID} SELECT * FROM grid")
+def _(damage, pawn):
+    return analytics.hotspot_grid(damage, pawn)
+
+
+@plan("damage_quadrants", "A2", f"""WITH {_GRID}, q AS (SELECT CASE WHEN grid_x < -13 AND grid_y < -13 THEN 'Northwest' WHEN grid_x < -13 THEN 'Southwest' WHEN grid_y < -13 THEN 'Northeast' ELSE 'Southeast' END AS location, damage, events FROM grid),
+s AS (SELECT location, CAST(sum(damage) AS BIGINT) AS damage, CAST(sum(events) AS BIGINT) AS events FROM q GROUP BY 1)
+SELECT *, round(damage * 100.0 / sum(damage) OVER (), 4) AS pct FROM s""")
+def _(damage, pawn):
+    return analytics.quadrants(analytics.hotspot_grid(damage, pawn))
+
+
+@plan("damage_top5_cells", "A3 L5", f"WITH {_GRID} SELECT * FROM grid ORDER BY damage DESC, grid_x, grid_y LIMIT 5")
+def _(damage, pawn):
+    return analytics.top_cells(analytics.hotspot_grid(damage, pawn))
+
+
+@plan("game_duration", "A13", f"WITH {_HITS} SELECT max(tick) / CAST(64 AS DOUBLE) AS seconds FROM hits")
+def _(damage, pawn):
+    return analytics.game_duration(damage, pawn)
+
+
+sql("tick_join_fanout", "J1 J2", "SELECT d.tick, d.damage, d.entindex_victim AS victim, p.entity_index FROM {damage} d INNER JOIN {pawn} p ON d.tick = p.tick")
+sql("tick_join_event_event", "J1", "SELECT d.tick, d.seq AS d_seq, k.seq AS k_seq FROM {damage} d INNER JOIN (SELECT tick, seq FROM {damage} WHERE damage > 100) k ON d.tick = k.tick")
+sql("self_join_tick", "S16", "SELECT a.tick, a.seq AS a_seq, b.seq AS b_seq FROM {pawn} a JOIN {pawn} b ON a.tick = b.tick AND a.seq < b.seq")
+sql("entity_join_index", "J4", "SELECT a.entity_index, a.n AS creates, b.n AS deletes FROM (SELECT entity_index, count(*) AS n FROM {pawn} WHERE delta_type = 'create' GROUP BY 1) a JOIN (SELECT entity_index, count(*) AS n FROM {pawn} WHERE delta_type = 'delete' GROUP BY 1) b ON a.entity_index = b.entity_index")
+sql("project_literal_computed", "P1 P3 P4 P5", "SELECT p.tick, p.entity_index, p.\"m_iHealth\" > 0 AS alive, 'Pawn' AS source_type FROM {pawn} p".replace('"m_iHealth"', "m_iHealth"))
+sql("select_star", "P2 S8", "SELECT * FROM {pawn} WHERE tick < 100")
+sql("event_scan", "S9 F2", "SELECT tick, seq, damage FROM {damage} WHERE damage > 20 AND tick < 3000")
+sql("filter_in_range", "F1 F2 F3", "SELECT tick, entity_index, delta_type FROM {pawn} WHERE delta_type IN ('create', 'delete') AND tick >= 100 AND tick < 4000 AND entity_index <> 7")
+sql("filter_equality", "F1", "SELECT tick, entity_index, m_iHealth FROM {pawn} WHERE entity_index = 65")
+sql("filter_misc_predicates", "F4 F5", """SELECT o_orderkey, o_orderpriority LIKE '1-%' AS urgent, o_totalprice BETWEEN 1000 AND 150000 AS mid, o_orderstatus IS NULL AS no_status,
+CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS state, o_orderpriority ILIKE '%URGENT%' AS ilike_urgent, o_orderstatus IS DISTINCT FROM 'O' AS not_open,
+NULL AND o_custkey > 0 AS tri FROM {orders} WHERE NOT (o_totalprice < 500) AND (o_orderstatus IS NOT NULL OR o_custkey IS NULL)""",
+"""SELECT o_orderkey, o_orderpriority LIKE '1-%' AS urgent, o_totalprice BETWEEN 1000 AND 150000 AS mid, o_orderstatus IS NULL AS no_status,
+CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS state, o_orderpriority ILIKE '%URGENT%' AS ilike_urgent, o_orderstatus IS DISTINCT FROM 'O' AS not_open,
+CAST(NULL AS BOOLEAN) AND o_custkey > 0 AS tri FROM {orders} WHERE NOT (o_totalprice < 500) AND (o_orderstatus IS NOT NULL OR o_custkey IS NULL)""")
+
+
+@plan("position_stream", "A6", f"SELECT tick, entity_index, {_TEAM.format('m_iTeamNum')} AS team, CAST(\"cellX\" * 128.0 - 16384.0 AS DOUBLE) AS world_x, CAST(\"cellY\" * 128.0 - 16384.0 AS DOUBLE) AS world_y FROM {{pawn}} WHERE delta_type IN ('create', 'update')")
+def _(pawn):
+    return analytics.positions(pawn)
+
+
+@plan("latest_state", "A4 S20", "SELECT entity_index, tick, health, team FROM (SELECT entity_index, tick, \"m_iHealth\" AS health, \"m_iTeamNum\" AS team, row_number() OVER (PARTITION BY entity_index ORDER BY tick DESC, seq DESC) AS rn FROM {pawn} WHERE delta_type IN ('create', 'update')) WHERE rn = 1")
+def _(pawn):
+    return analytics.latest_state(pawn)
+
+
+_LIVES_LEAVE = """numbered AS (SELECT *, sum(CASE WHEN delta_type = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_index ORDER BY tick, seq) AS life_id FROM {pawn} WHERE tick <= 3000),
+flagged AS (SELECT *, coalesce(max(CASE WHEN delta_type IN ('delete', 'leave') THEN 1 ELSE 0 END) OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM numbered WHERE life_id > 0)"""
+
+
+@plan("state_as_of_tick", "A11 S19", f"WITH {_LIVES_LEAVE} SELECT entity_index, tick, \"m_iHealth\" AS health, \"m_iTeamNum\" AS team FROM (SELECT *, row_number() OVER (PARTITION BY entity_index ORDER BY tick DESC, seq DESC) AS rn FROM flagged WHERE ended = 0) WHERE rn = 1 AND delta_type IN ('create', 'update')")
+def _(pawn):
+    return analytics.state_as_of(pawn, 3000)
+
+
+@plan("scoreboard_buckets", "A5", """WITH r AS (SELECT entity_index, tick // 1920 AS bucket, seq, "m_iTeamNum" AS team, "m_iHealth" AS health, row_number() OVER (PARTITION BY entity_index, tick // 1920 ORDER BY tick DESC, seq DESC) AS rn FROM {pawn} WHERE delta_type IN ('create', 'update')),
+l AS (SELECT * FROM r WHERE rn = 1), b AS (SELECT unnest(range(0, (SELECT max(bucket) + 1 FROM l))) AS bucket)
+SELECT CAST(bucket AS BIGINT) AS bucket, entity_index, team, health FROM (SELECT b.bucket, l.entity_index, l.team, l.health, row_number() OVER (PARTITION BY b.bucket, l.entity_index ORDER BY l.bucket DESC) AS k FROM b JOIN l ON l.bucket <= b.bucket) WHERE k = 1""")
+def _(pawn):
+    return analytics.scoreboard(pawn)
+
+
+@plan("combat_events", "A7", f"""WITH {_LIVES}, u AS (SELECT * FROM lives WHERE delta_type <> 'delete'),
+h AS (SELECT *, lag("m_iHealth") OVER w AS ph, lag(tick) OVER w AS p_tick FROM u WINDOW w AS (PARTITION BY entity_index, life_id ORDER BY tick, seq)),
+d AS (SELECT *, CASE WHEN delta_type = 'update' AND ph > "m_iHealth" THEN ph - "m_iHealth" END AS damage FROM h),
+e AS (SELECT *, last_value(CASE WHEN damage IS NOT NULL THEN tick END IGNORE NULLS) OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ld, lag(damage IS NOT NULL) OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq) AS p_hit FROM d)
+SELECT tick, seq, entity_index, kind, damage FROM (SELECT *, CASE WHEN damage IS NOT NULL AND (ld IS NULL OR (NOT p_hit AND p_tick - ld > 192)) THEN 'START' WHEN delta_type = 'update' AND damage IS NULL AND tick - ld > 192 AND (p_hit OR p_tick - ld <= 192) THEN 'END' END AS kind FROM e) WHERE kind IS NOT NULL""")
+def _(pawn):
+    return analytics.combat(pawn)
+
+
+@plan("combat_damage_rows", "A7", f"""WITH {_LIVES}, h AS (SELECT *, lag("m_iHealth") OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq) AS ph FROM lives WHERE delta_type <> 'delete')
+SELECT tick, seq, entity_index, ph - "m_iHealth" AS damage, round("m_iHealth" * 100.0 / "m_iMaxHealth", 4) AS pct_left FROM h WHERE delta_type = 'update' AND ph > "m_iHealth\"""")
+def _(pawn):
+    return analytics.damage_rows(pawn)
+
+
+@plan("lifecycle_spawns_deaths", "A8", f"""WITH {_LIVES}, g AS (SELECT entity_index, life_id, arg_min("m_iTeamNum", seq) AS t, arg_min("cellX", seq) AS cx, max(CASE WHEN delta_type = 'delete' THEN 1 ELSE 0 END) AS dead FROM lives GROUP BY 1, 2),
+a AS (SELECT *, CASE WHEN dead = 0 AND life_id = max(life_id) OVER (PARTITION BY entity_index) THEN 1 ELSE 0 END AS living FROM g)
+SELECT {_TEAM.format('t')} AS team, {_LANE.format('cx')} AS lane, count(*) AS spawns, CAST(sum(dead) AS BIGINT) AS deaths, CAST(sum(living) AS BIGINT) AS active FROM a GROUP BY 1, 2""")
+def _(pawn):
+    return analytics.lifecycle(pawn)
+
+
+@plan("objective_changes", "A9 U1", """WITH k AS (SELECT *, CASE part WHEN 0 THEN 'Guardian' WHEN 1 THEN 'Walker' ELSE 'Patron' END AS type, sum(CASE WHEN delta_type = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY part, entity_index ORDER BY tick, seq) AS life_id FROM {pawn} WHERE delta_type IN ('create', 'update', 'delete')),
+h AS (SELECT *, life_id > 0 AND coalesce(max(CASE WHEN delta_type = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY type, entity_index, life_id ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS known, lag("m_iHealth") OVER (PARTITION BY type, entity_index, life_id ORDER BY tick, seq) AS oh, first_value("m_iMaxHealth") OVER (PARTITION BY type, entity_index, life_id ORDER BY tick, seq) AS top FROM k),
+e AS (SELECT *, CASE WHEN delta_type = 'create' THEN 'spawn' WHEN delta_type = 'delete' THEN 'destroyed' WHEN known AND "m_iHealth" <> oh THEN 'change' END AS kind FROM h)
+SELECT type, entity_index, tick, seq, kind, CASE WHEN kind = 'change' THEN oh END AS old_health, "m_iHealth" AS new_health, CASE WHEN kind = 'change' THEN oh - "m_iHealth" END AS damage, CASE WHEN kind = 'change' THEN CASE WHEN top > 0 THEN round("m_iHealth" * 100.0 / top, 4) ELSE 0.0 END END AS pct FROM e WHERE kind IS NOT NULL""")
+def _(pawn):
+    return analytics.objectives({name: pawn.where(F.col("part") == k) for k, name in enumerate(("Guardian", "Walker", "Patron"))})
+
+
+@plan("ownership_flips", "A10", f"""WITH k AS (SELECT tick, seq, entity_index, delta_type, "cellX", 2 + seq % 2 AS team FROM {{pawn}} WHERE delta_type IN ('create', 'update')),
+n AS (SELECT *, sum(CASE WHEN delta_type = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_index ORDER BY tick, seq) AS life_id FROM k),
+l AS (SELECT *, lag(team) OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq) AS old_team, lag(team) OVER (PARTITION BY entity_index ORDER BY tick, seq) AS held, first_value("cellX") OVER (PARTITION BY entity_index, life_id ORDER BY tick, seq) AS cx FROM n WHERE life_id > 0),
+m AS (SELECT *, sum((team = 2)::INT - coalesce(held = 2, false)::INT) OVER (ORDER BY tick, seq) AS n_amber, sum((team = 3)::INT - coalesce(held = 3, false)::INT) OVER (ORDER BY tick, seq) AS n_sapphire FROM l WHERE delta_type = 'create' OR old_team <> team)
+SELECT tick, seq, entity_index, {_LANE.format('cx')} AS lane, old_team, team AS new_team, CAST(n_amber AS BIGINT) AS n_amber, CAST(n_sapphire AS BIGINT) AS n_sapphire FROM m WHERE delta_type = 'update'""")
+def _(pawn):
+    return analytics.ownership_flips(pawn.withColumn("m_iTeamNum", 2 + F.col("seq") % 2))
+
+
+@plan("multi_query_summary", "A12 S15", f"""WITH {_LIVES}, g AS (SELECT entity_index, life_id, arg_max("m_iTeamNum", seq) FILTER (WHERE delta_type <> 'delete') AS t, max(CASE WHEN delta_type = 'delete' THEN 1 ELSE 0 END) AS dead FROM lives GROUP BY 1, 2),
+a AS (SELECT *, CASE WHEN dead = 0 AND life_id = max(life_id) OVER (PARTITION BY entity_index) THEN 1 ELSE 0 END AS living FROM g)
+SELECT {_TEAM.format('t')} AS team, CAST(sum(living) AS BIGINT) AS alive, CAST(sum(dead) AS BIGINT) AS deaths, (SELECT CAST(sum(damage) AS BIGINT) FROM {{damage}}) AS total_damage, (SELECT max(tick) FROM {{pawn}}) AS last_tick FROM a GROUP BY 1""")
+def _(pawn, damage):
+    return analytics.summary(pawn, damage)
+
+
+@plan("asof_state_at_event", "J10", """SELECT d.seq, d.tick, d.entindex_victim AS victim, d.damage, (SELECT arg_max(p."m_iHealth", (p.tick, p.seq)) FROM {pawn} p WHERE p.entity_index = d.entindex_victim AND p.tick <= d.tick AND p.delta_type IN ('create', 'update')) AS health FROM {damage} d""")
+def _(damage, pawn):
+    return analytics.asof_health(damage, pawn)
+
+
+@plan("ehandle_index", "D18", "SELECT seq, CASE WHEN (CASE WHEN seq % 97 = 0 THEN 16777215 ELSE seq * 7919 % 16777215 END) <> 16777215 THEN (CASE WHEN seq % 97 = 0 THEN 16777215 ELSE seq * 7919 % 16777215 END) & 16383 END AS slot FROM {pawn}")
+def _(pawn):
+    handle = F.when(F.col("seq") % 97 == 0, F.lit(16777215)).otherwise(F.col("seq") * 7919 % 16777215)
+    return pawn.select("seq", scalars.handle_slot(handle).alias("slot"))
+
+
+@plan("coord_from_cell", "D19", "SELECT seq, CAST(\"cellX\" * 512.0 - 16384.0 + seq % 512 AS DOUBLE) AS x, CAST(\"cellY\" * 128.0 - 16384.0 AS DOUBLE) AS y FROM {pawn} WHERE \"cellX\" IS NOT NULL")
+def _(pawn):
+    p = pawn.where("cellX IS NOT NULL")
+    return p.select("seq", scalars.world(F.col("cellX"), 512.0, F.col("seq") % 512).cast("double").alias("x"), scalars.world(F.col("cellY")).cast("double").alias("y"))
+
+
+@plan("vector_flatten", "D15 X7", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v__x, CAST(embedding[2] AS DOUBLE) AS v__y, CAST(embedding[3] AS DOUBLE) AS v__z FROM {embeddings}")
+def _(embeddings):
+    from ..schema.types import flatten
+
+    return embeddings.select("vec_id", *(c.cast("double").alias(n) for n, c in flatten("v", "Vector", F.col("embedding"))))
+
+
+# ---------------------------------------------------------------- set operations, limits, order
+
+sql("union_all_tagged", "U1 U2 P4", "SELECT tick, entity_index, 'Guardian' AS source_type FROM {pawn} WHERE part = 0 UNION ALL SELECT tick, entity_index, 'Walker' AS source_type FROM {pawn} WHERE part = 1 UNION ALL SELECT tick, entindex_victim AS entity_index, 'Damage' AS source_type FROM {damage}")
+sql("union_distinct", "U3", "SELECT entity_index FROM {pawn} WHERE part = 0 UNION SELECT entindex_attacker AS entity_index FROM {damage}")
+sql("intersect_distinct", "U4", "SELECT user_id FROM {events} WHERE event_type = 'click' INTERSECT SELECT user_id FROM {events} WHERE event_type = 'purchase' AND value > 50")
+sql("intersect_all", "U4", "SELECT user_id, event_type FROM {events} WHERE event_id % 2 = 0 INTERSECT ALL SELECT user_id, event_type FROM {events} WHERE event_id % 3 = 0")
+sql("except_distinct", "U5", "SELECT user_id FROM {events} EXCEPT SELECT user_id FROM {events} WHERE event_type = 'error' AND event_id % 5 = 0")
+sql("except_all", "U5", "SELECT user_id FROM {events} WHERE event_id % 2 = 0 EXCEPT ALL SELECT user_id FROM {events} WHERE event_id % 3 = 0")
+sql("limit_ordered", "L1 L4 S12", "SELECT tick, seq FROM {pawn} ORDER BY tick, seq LIMIT 50")
+sql("offset_limit", "L6", "SELECT tick, seq, m_iHealth FROM {pawn} ORDER BY tick, seq LIMIT 40 OFFSET 25")
+sql("limit_in_union_branches", "L2", "SELECT * FROM (SELECT tick, 'Pawn' AS source_type FROM {pawn} ORDER BY tick, seq LIMIT 30) a UNION ALL SELECT * FROM (SELECT tick, 'Damage' AS source_type FROM {damage} ORDER BY tick, seq LIMIT 20) b")
+sql("order_by_nulls", "L3 L6", "SELECT seq, row_number() OVER (PARTITION BY entity_index ORDER BY m_iHealth DESC NULLS LAST, seq) AS rn, row_number() OVER (PARTITION BY entity_index ORDER BY m_iHealth ASC NULLS FIRST, seq) AS rn_first FROM {pawn}")
+sql("topk_damage", "L5", "SELECT entindex_victim, CAST(sum(damage) AS BIGINT) AS total FROM {damage} GROUP BY entindex_victim ORDER BY total DESC, entindex_victim LIMIT 10")
+
+# ---------------------------------------------------------------- joins
+
+sql("join_inner", "J9", "SELECT c.c_mktsegment, count(*) AS n, CAST(round(sum(o.o_totalprice), 2) AS DOUBLE) AS total FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
+for _how in ("LEFT", "RIGHT", "FULL"):
+    sql(f"join_{_how.lower()}_outer", "J5", f"SELECT c.c_custkey, o.o_orderkey, o.o_orderkey IS NULL AS no_order, c.c_custkey IS NULL AS no_customer FROM (SELECT * FROM {{customer}} WHERE c_custkey % 3 = 0) c {_how} JOIN (SELECT * FROM {{orders}} WHERE o_orderkey % 5 = 0) o ON c.c_custkey = o.o_custkey")
+sql("join_left_right_full", "J5", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c FULL OUTER JOIN (SELECT * FROM {orders} WHERE o_totalprice > 200000) o ON c.c_custkey = o.o_custkey")
+sql("join_semi", "J6", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
+sql("join_anti", "J6", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+sql("join_in_not_in", "J6", "SELECT c_custkey, 'in' AS side FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders}) UNION ALL SELECT c_custkey, 'not in' AS side FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
+sql("join_semi_anti", "J6", "SELECT s_suppkey FROM {supplier} LEFT SEMI JOIN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 45) l ON s_suppkey = l_suppkey", "SELECT s_suppkey FROM {supplier} SEMI JOIN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 45) l ON s_suppkey = l_suppkey")
+sql("join_theta_cross", "J7", "SELECT n.n_name, r.r_name, n.n_regionkey < r.r_regionkey AS below FROM {nation} n JOIN {region} r ON n.n_regionkey <= r.r_regionkey")
+sql("join_cross", "J7", "SELECT n.n_nationkey, r.r_regionkey FROM {nation} n CROSS JOIN {region} r")
+sql("join_using", "J8", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM {nation}) a JOIN (SELECT r_regionkey AS k, r_name FROM {region}) b USING (k)")
+sql("join_natural", "J8", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM {nation}) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM {region}) b")
+sql("join_star", "J9", "SELECT r.r_name, count(*) AS n, CAST(sum(l.l_quantity) AS BIGINT) AS quantity FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
+sql("lateral_unnest", "J11 Q-4", "SELECT event_id, part FROM {events} LATERAL VIEW explode(split(event_type, 'r')) t AS part", "SELECT event_id, unnest(string_split(event_type, 'r')) AS part FROM {events}")
+
+# ---------------------------------------------------------------- aggregation
+
+sql("group_basic", "G2", "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
+sql("count_star", "G1", "SELECT count(*) AS n FROM {damage}")
+sql("group_having_filter", "G6", "SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM {lineitem} GROUP BY l_suppkey HAVING count(*) > 20")
+sql("group_within", "G6 G9", "SELECT event_type, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS mid, listagg(DISTINCT CAST(user_id % 7 AS STRING), ',') WITHIN GROUP (ORDER BY CAST(user_id % 7 AS STRING)) AS sevens FROM {events} GROUP BY event_type", "SELECT event_type, quantile_cont(value, 0.5) AS mid, string_agg(DISTINCT CAST(user_id % 7 AS VARCHAR), ',' ORDER BY CAST(user_id % 7 AS VARCHAR)) AS sevens FROM {events} GROUP BY event_type")
+sql("group_by_tick", "G3", "SELECT tick, count(*) AS n, max(m_iHealth) AS max_health FROM {pawn} GROUP BY tick")
+sql("count_distinct", "G4", "SELECT event_type, count(DISTINCT user_id) AS users, CAST(sum(DISTINCT user_id) AS BIGINT) AS id_sum FROM {events} GROUP BY event_type")
+sql("select_distinct", "G4", "SELECT DISTINCT entity_index, delta_type FROM {pawn}")
+sql("grouping_sets", "G5", "SELECT l_returnflag AS flag, l_linestatus AS status, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+sql("group_cube", "G5", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql("grouping_sets_cube_rollup", "G5", "SELECT l_returnflag AS flag, l_linestatus AS status, CAST(sum(l_quantity) AS BIGINT) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+sql("stat_aggs", "G7 G8", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(var_samp(l_quantity), 6) AS v, round(var_pop(l_quantity), 6) AS vp, round(covar_samp(l_quantity, l_discount), 6) AS cs, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(corr(l_quantity, l_extendedprice), 6) AS c, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity) AS rc, median(l_quantity) AS med FROM {lineitem} GROUP BY l_returnflag")
+sql("regr_aggs", "G7", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS i, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay, round(regr_sxx(l_extendedprice, l_quantity), 2) AS sxx FROM {lineitem}")
+sql("collect_aggs", "G9", "SELECT event_type, array_join(sort_array(collect_set(CAST(user_id % 5 AS STRING))), ',') AS fives, min_by(event_id, value) AS at_min, max_by(event_id, struct(value, event_id)) AS at_max FROM {events} GROUP BY event_type", "SELECT event_type, array_to_string(list_sort(list(DISTINCT CAST(user_id % 5 AS VARCHAR))), ',') AS fives, arg_min(event_id, value) AS at_min, arg_max(event_id, (value, event_id)) AS at_max FROM {events} GROUP BY event_type")
+sql("bit_bool_aggs", "G10", "SELECT event_type, bit_and(user_id) AS ba, bit_or(user_id) AS bo, bit_xor(user_id) AS bx, bool_and(value > 0) AS every_pos, bool_or(value > 100) AS any_big FROM {events} GROUP BY event_type")
+sql("first_last_value", "G9", "SELECT event_type, min_by(user_id, event_id) AS first_user, max_by(user_id, event_id) AS last_user FROM {events} GROUP BY event_type", "SELECT event_type, first(user_id ORDER BY event_id) AS first_user, last(user_id ORDER BY event_id) AS last_user FROM {events} GROUP BY event_type")
+sql("partial_agg", "G11", "SELECT l_orderkey % 1000 AS k, CAST(sum(l_linenumber) AS BIGINT) AS s FROM {lineitem} GROUP BY 1")
+
+# ---------------------------------------------------------------- windows
+
+sql("window_ranking", "W1", "SELECT seq, row_number() OVER w AS rn, rank() OVER h AS rk, dense_rank() OVER h AS dr, round(percent_rank() OVER h, 8) AS pr, round(cume_dist() OVER h, 8) AS cd, ntile(4) OVER w AS nt FROM {pawn} WINDOW w AS (PARTITION BY entity_index ORDER BY tick, seq), h AS (PARTITION BY entity_index ORDER BY tick)")
+sql("window_analytic", "W2", "SELECT seq, lag(m_iHealth) OVER w AS lg, lag(m_iHealth, 2, -1) OVER w AS lg2, lead(m_iHealth) OVER w AS ld, first_value(tick) OVER w AS fv, last_value(m_iHealth) IGNORE NULLS OVER f AS lv, nth_value(tick, 2) OVER f AS nv FROM {pawn} WINDOW w AS (PARTITION BY entity_index ORDER BY tick, seq), f AS (PARTITION BY entity_index ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "SELECT seq, lag(m_iHealth) OVER w AS lg, lag(m_iHealth, 2, -1) OVER w AS lg2, lead(m_iHealth) OVER w AS ld, first_value(tick) OVER w AS fv, last_value(m_iHealth IGNORE NULLS) OVER f AS lv, nth_value(tick, 2) OVER f AS nv FROM {pawn} WINDOW w AS (PARTITION BY entity_index ORDER BY tick, seq), f AS (PARTITION BY entity_index ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+sql("window_aggregate", "W3", "SELECT seq, CAST(sum(m_iHealth) OVER w AS BIGINT) AS s, count(m_iHealth) OVER w AS c, min(m_iHealth) OVER w AS mn, max(m_iHealth) OVER w AS mx, round(avg(m_iHealth) OVER w, 6) AS av FROM {pawn} WINDOW w AS (PARTITION BY entity_index ORDER BY tick, seq)")
+sql("window_frames", "W4", "SELECT seq, CAST(sum(m_iHealth) OVER (PARTITION BY entity_index ORDER BY tick, seq ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS rows_sum, count(*) OVER (PARTITION BY entity_index ORDER BY tick RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS range_n FROM {pawn}")
+sql("window_groups_frame", "W4", "SELECT seq, count(*) OVER (PARTITION BY part ORDER BY g RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM (SELECT seq, part, dense_rank() OVER (PARTITION BY part ORDER BY tick) AS g FROM {pawn}) x", "SELECT seq, count(*) OVER (PARTITION BY part ORDER BY tick GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM {pawn}")
+sql("window_qualify", "W5", "SELECT seq, entity_index FROM (SELECT seq, entity_index, row_number() OVER (PARTITION BY entity_index ORDER BY tick DESC, seq DESC) AS rn FROM {pawn}) x WHERE rn <= 2", "SELECT seq, entity_index FROM {pawn} QUALIFY row_number() OVER (PARTITION BY entity_index ORDER BY tick DESC, seq DESC) <= 2")
+
+# ---------------------------------------------------------------- query structure
+
+sql("derived_table", "Q-1", "SELECT t.entity_index, t.n FROM (SELECT entity_index, count(*) AS n FROM {pawn} GROUP BY entity_index) t WHERE t.n > 10")
+sql("subqueries_ctes", "Q-2 Q-3", "WITH big AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey) SELECT c.c_custkey, b.total, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n_orders FROM {customer} c JOIN big b ON c.c_custkey = b.o_custkey WHERE b.total > (SELECT avg(total) FROM big)")
+sql("values_range", "Q-4", "SELECT v.id, v.label, CAST(r.id AS BIGINT) AS k FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) AS v(id, label) JOIN range(0, 5) r ON r.id >= v.id", "SELECT v.id, v.label, r.range AS k FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) AS v(id, label) JOIN range(0, 5) r ON r.range >= v.id")
+sql("recursive_cte", "Q-4", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+sql("pivot_unpivot", "Q-5", "SELECT user_id, click, view, purchase FROM (SELECT user_id, event_type, event_id FROM {events}) PIVOT (count(event_id) FOR event_type IN ('click' AS click, 'view' AS view, 'purchase' AS purchase))", "SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS view, nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase FROM {events} GROUP BY user_id")
+sql("unpivot", "Q-5", "SELECT p_partkey, what, amount FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM {part}) UNPIVOT (amount FOR what IN (size, price))", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS amount FROM {part} UNION ALL SELECT p_partkey, 'price', p_retailprice FROM {part}")
+sql("correlated_exists", "Q-3", "SELECT p_partkey FROM {part} p WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49)")
+
+# ---------------------------------------------------------------- scalar functions
+
+sql("scalar_string", "X1", "SELECT p_partkey, ascii(p_name) AS a, length(p_name) AS len, octet_length(p_name) AS ol, bit_length(p_name) AS bl, lower(p_name) AS lo, upper(p_brand) AS up, trim(concat(' ', p_brand, ' ')) AS tr, ltrim(concat(' ', p_brand)) AS lt, rtrim(concat(p_brand, ' ')) AS rt, chr(65 + p_size % 26) AS ch, concat_ws('-', p_brand, p_type) AS cw, contains(p_name, 'a') AS ct, startswith(p_name, 'p') AS sw, endswith(p_type, 'N') AS ew, repeat(p_brand, 2) AS rp, replace(p_brand, '#', '/') AS rc, split_part(p_type, ' ', 2) AS sp, lower(hex(p_size)) AS hx, levenshtein(p_brand, p_type) AS lv FROM {part}",
+    "SELECT p_partkey, ascii(p_name) AS a, length(p_name) AS len, strlen(p_name) AS ol, bit_length(p_name) AS bl, lower(p_name) AS lo, upper(p_brand) AS up, trim(concat(' ', p_brand, ' ')) AS tr, ltrim(concat(' ', p_brand)) AS lt, rtrim(concat(p_brand, ' ')) AS rt, chr(CAST(65 + p_size % 26 AS INTEGER)) AS ch, concat_ws('-', p_brand, p_type) AS cw, contains(p_name, 'a') AS ct, starts_with(p_name, 'p') AS sw, ends_with(p_type, 'N') AS ew, repeat(p_brand, 2) AS rp, replace(p_brand, '#', '/') AS rc, split_part(p_type, ' ', 2) AS sp, lower(to_hex(p_size)) AS hx, levenshtein(p_brand, p_type) AS lv FROM {part}")
+sql("scalar_unicode", "X2", "SELECT doc_id, char_length(text) AS n, left(text, 12) AS l, right(text, 9) AS r, lpad(source, 8, '*') AS lp, rpad(source, 8, '*') AS rp, reverse(left(text, 20)) AS rv, instr(text, 'en') AS pos, substr(text, 3, 7) AS sb, translate(left(text, 30), 'aeé', 'xyz') AS tl FROM {documents}",
+    "SELECT doc_id, length(text) AS n, left(text, 12) AS l, right(text, 9) AS r, lpad(source, 8, '*') AS lp, rpad(source, 8, '*') AS rp, reverse(left(text, 20)) AS rv, instr(text, 'en') AS pos, substr(text, 3, 7) AS sb, translate(left(text, 30), 'aeé', 'xyz') AS tl FROM {documents}")
+sql("scalar_unicode_more", "X2", "SELECT c_custkey, initcap(lower(c_mktsegment)) AS ic, substring_index(c_name, '#', 1) AS si, find_in_set(c_mktsegment, 'BUILDING,MACHINERY') AS fs FROM {customer}",
+    "SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS ic, split_part(c_name, '#', 1) AS si, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS fs FROM {customer}")
+sql("scalar_regex", "X3", "SELECT doc_id, regexp_like(text, 'th[ae]') AS rl, regexp_count(text, '[aeiou][aeiou]') AS rc, regexp_replace(left(text, 40), '[aeiou]+', '_') AS rr, regexp_extract(text, '([a-z]+)ing', 1) AS rx, size(regexp_extract_all(left(text, 200), '([a-z]+)n', 1)) AS ra FROM {documents}",
+    "SELECT doc_id, regexp_matches(text, 'th[ae]') AS rl, CAST(len(regexp_extract_all(text, '[aeiou][aeiou]')) AS INTEGER) AS rc, regexp_replace(left(text, 40), '[aeiou]+', '_', 'g') AS rr, regexp_extract(text, '([a-z]+)ing', 1) AS rx, CAST(len(regexp_extract_all(left(text, 200), '([a-z]+)n', 1)) AS INTEGER) AS ra FROM {documents}")
+sql("scalar_datetime", "X4", "SELECT event_id, unix_micros(date_trunc('hour', CAST(ts AS TIMESTAMP))) AS hour_us, CAST(date_part('dow', ts) AS BIGINT) AS dow, CAST(extract(DAY FROM ts) AS BIGINT) AS d, date_format(ts, 'yyyy-MM-dd') AS ymd, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / 900) * 900 AS BIGINT) AS bin, datediff(CAST(ts AS DATE), make_date(2020, 1, 1)) AS days, unix_micros(CAST(ts AS TIMESTAMP) + INTERVAL 1 DAY) AS next_day FROM {events}",
+    "SELECT event_id, epoch_us(date_trunc('hour', ts)) AS hour_us, CAST(date_part('dow', ts) + 1 AS BIGINT) AS dow, CAST(extract(DAY FROM ts) AS BIGINT) AS d, strftime(ts, '%Y-%m-%d') AS ymd, CAST(floor(epoch(ts)) AS BIGINT) // 900 * 900 AS bin, CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS INTEGER) AS days, epoch_us(ts + INTERVAL 1 DAY) AS next_day FROM {events}")
+sql("scalar_math", "X5", "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS ab, CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, round(sqrt(l_quantity), 8) AS sq, round(cbrt(l_quantity), 8) AS cb, round(power(l_quantity, 1.5), 6) AS pw, round(exp(l_discount), 8) AS ex, round(ln(l_quantity), 8) AS lnq, round(log10(l_quantity), 8) AS lg, round(log2(l_quantity), 8) AS l2, CAST(signum(l_discount - 0.05) AS INT) AS sg, round(sin(l_quantity), 8) AS si, round(atan2(l_quantity, 3), 8) AS at, round(degrees(l_tax), 8) AS dg, CAST(l_quantity AS BIGINT) % 7 AS md, CAST(l_orderkey AS BIGINT) & 255 AS ba FROM {lineitem}",
+    "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS ab, CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, round(sqrt(l_quantity), 8) AS sq, round(cbrt(l_quantity), 8) AS cb, round(pow(l_quantity, 1.5), 6) AS pw, round(exp(l_discount), 8) AS ex, round(ln(l_quantity), 8) AS lnq, round(log10(l_quantity), 8) AS lg, round(log2(l_quantity), 8) AS l2, CAST(sign(l_discount - 0.05) AS INT) AS sg, round(sin(l_quantity), 8) AS si, round(atan2(l_quantity, 3), 8) AS at, round(degrees(l_tax), 8) AS dg, CAST(l_quantity AS BIGINT) % 7 AS md, CAST(l_orderkey AS BIGINT) & 255 AS ba FROM {lineitem}")
+
+
+@plan("scalar_gcd_lcm", "X5", "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g, CAST(lcm(p_partkey, p_size) AS BIGINT) AS l FROM {part}")
+def _(part):
+    return part.select("p_partkey", scalars.gcd("p_partkey", F.col("p_size").cast("bigint")).alias("g"), scalars.lcm("p_partkey", F.col("p_size").cast("bigint")).alias("l"))
+
+
+sql("conditional", "X6", "SELECT seq, coalesce(m_iHealth, -1) AS c, nullif(delta_type, 'update') AS n, nvl(m_iTeamNum, 0) AS nv, nvl2(cellX, 'here', 'gone') AS n2, greatest(coalesce(cellX, 0), coalesce(cellY, 0)) AS g, least(coalesce(cellX, 0), coalesce(cellY, 0)) AS l FROM {pawn}",
+    "SELECT seq, coalesce(m_iHealth, -1) AS c, nullif(delta_type, 'update') AS n, coalesce(m_iTeamNum, 0) AS nv, CASE WHEN cellX IS NOT NULL THEN 'here' ELSE 'gone' END AS n2, greatest(coalesce(cellX, 0), coalesce(cellY, 0)) AS g, least(coalesce(cellX, 0), coalesce(cellY, 0)) AS l FROM {pawn}")
+sql("scalar_array", "X7", "SELECT vec_id, size(embedding) AS n, CAST(embedding[0] AS DOUBLE) AS e0, CAST(array_max(embedding) AS DOUBLE) AS mx, CAST(element_at(sort_array(embedding), 1) AS DOUBLE) AS mn, array_contains(array(1, label), 3) AS has3, size(array_distinct(array(label, label, 1))) AS nd, array_position(array(5, label), label) AS ap, size(slice(embedding, 2, 5)) AS sl, array_join(transform(array(label, 1), x -> CAST(x AS STRING)), '|') AS aj, size(array_union(array(label), array(1, 2))) AS au, size(array_intersect(array(label), array(1, 2))) AS ai, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), 0D, (a, x) -> a + x), 4) AS norm2 FROM {embeddings}",
+    "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS e0, CAST(list_max(embedding) AS DOUBLE) AS mx, CAST(list_min(embedding) AS DOUBLE) AS mn, list_contains([1, label], 3) AS has3, CAST(len(list_distinct([label, label, 1])) AS INTEGER) AS nd, CAST(list_position([5, label], label) AS BIGINT) AS ap, CAST(len(embedding[2:6]) AS INTEGER) AS sl, array_to_string([label, 1], '|') AS aj, CAST(len(list_distinct([label, 1, 2])) AS INTEGER) AS au, CAST(len(list_intersect([label], [1, 2])) AS INTEGER) AS ai, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS norm2 FROM {embeddings}")
+sql("struct_map", "X8 P7", "SELECT event_id, named_struct('a', user_id, 'b', event_type).b AS sb, map('u', user_id, 'e', event_id)['u'] AS mu, array_join(map_keys(map('u', 1, 'e', 2)), ',') AS mk, size(map_values(map('u', 1))) AS mv FROM {events}",
+    "SELECT event_id, event_type AS sb, user_id AS mu, 'u,e' AS mk, CAST(1 AS INTEGER) AS mv FROM {events}")
+sql("scalar_json", "X11 X8", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, from_json(props, 'k BIGINT').k % 10 AS k10 FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k10 FROM {events}")
+sql("scalar_crypto_encoding", "X9 X10", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s2, sha1(c_name) AS s1, lower(hex(c_name)) AS hx, base64(CAST(c_name AS BINARY)) AS b64, CAST(unbase64(base64(CAST(c_name AS BINARY))) AS STRING) AS back, CAST(unhex(hex(c_mktsegment)) AS STRING) AS unh FROM {customer}",
+    "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s2, sha1(c_name) AS s1, lower(hex(c_name)) AS hx, base64(encode(c_name)) AS b64, c_name AS back, c_mktsegment AS unh FROM {customer}")
+sql("type_meta", "X12", "SELECT o_orderkey, CAST(o_orderpriority AS STRING) AS s, try_cast(left(o_orderpriority, 1) AS INT) AS d, try_cast(o_orderpriority AS INT) AS none, typeof(o_orderkey) AS t FROM {orders}", "SELECT o_orderkey, CAST(o_orderpriority AS VARCHAR) AS s, try_cast(left(o_orderpriority, 1) AS INT) AS d, try_cast(o_orderpriority AS INT) AS none, lower(typeof(o_orderkey)) AS t FROM {orders}")
+
+
+@plan("scalar_blake", "X9", None)
+def _(customer):
+    return customer.select("c_custkey", scalars.blake2b("c_name").alias("b2b"), scalars.blake2s("c_name").alias("b2s"))
+
+
+@plan("approx_aggs", "G8", None)
+def _(lineitem):
+    return lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", [0.5, 0.9]).alias("q"))
