@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Input bytes (as stored) that one batch or bucket of the grouped operators should hold.
 TARGET_BYTES = 4 << 20
+#: Stored bytes of input for one partition of a table that is written between steps.
+PART_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,17 @@ def materialize(df: DataFrame) -> Materialized:
     return Materialized(df.sparkSession, df)
 
 
+def few(df: DataFrame, of: DataFrame, narrow: bool = True) -> DataFrame:
+    """df in as many partitions as the size of a table it is made of asks for, so that small tables make few files.
+
+    narrow: the last stage of df is cheap and runs in these partitions; else its result is dealt again.
+    """
+    n = max(1, -(-stored_bytes(of) // PART_BYTES))
+    if n >= shuffle_partitions(df.sparkSession):
+        return df
+    return df.coalesce(n) if narrow else df.repartition(n)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df's plan; costs no job."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -26,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     Neighbourhoods are only aggregated (combined before the shuffle) and joined, never gathered, and each round is written
     to the shared folder. The number of rounds grows with the logarithm of the links' longest path.
     """
-    now = common.materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = common.materialize(common.few(first, edges))
     while True:
-        big = common.materialize(_stars(now.df, True))
-        then = common.materialize(_stars(big.df, False))
+        big = common.materialize(common.few(_stars(now.df, True), now.df))
+        then = common.materialize(common.few(_stars(big.df, False), big.df))
         big.drop()
         now.drop()
         now = then

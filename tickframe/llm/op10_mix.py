@@ -107,7 +107,7 @@ def copies(sized: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
     base = F.floor(ratio + F.lit(_TINY)).cast("double")
     fraction = F.greatest(ratio - base, F.lit(0.0))
     wanted = joined.select("doc_id", "copy", "source", "size", "source_size", "target", "n_rows", F.when(F.col("size") > 0, base).otherwise(F.lit(0.0)).alias("base"), F.when((F.col("size") > 0) & (fraction >= _TINY), fraction).otherwise(F.lit(0.0)).alias("p"))
-    held = common.materialize(wanted).df
+    held = common.materialize(common.few(wanted, sized)).df
 
     # levels of the tree: until the largest source's residuals fit in one block
     largest = goal.agg(F.max("n_rows")).first()[0] or 0
@@ -122,7 +122,7 @@ def copies(sized: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
         dealt = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "x.doc_id", "x.copy"), blocks))
         # large documents first, so that the residual left at the end tends to be small
         folded = dealt.groupBy("source", "block").agg(F.first("n_rows").alias("n_rows"), F.reverse(F.array_sort(F.collect_list("x"))).alias("xs")).select("source", "n_rows", _fold(F.col("xs")).alias("f"))
-        folded = common.materialize(folded).df
+        folded = common.materialize(common.few(folded, held)).df
         done = folded.select(F.explode("f.done").alias("x"))
         decided = done if decided is None else decided.unionByName(done)
         left = folded.where("f.left IS NOT NULL").select("source", "n_rows", F.col("f.left").alias("x"))

@@ -314,7 +314,8 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     info = found.where("kind = 0").select(F.when(F.col("key") == 1, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), "one", "two")
     classes = info.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"))
     # every linkable document with the least document of an equal set
-    rep = common.materialize(info.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["n_shingles", "one", "two"]).select("doc_id", "rep").distinct()).df
+    rep = info.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["n_shingles", "one", "two"]).select("doc_id", "rep").distinct()
+    rep = common.materialize(common.few(rep, found)).df
     shared = found.where("kind = 1").select("key", "doc", "n")
     pivots = shared.groupBy("key").agg(F.min_by(F.struct("doc", "n"), "doc").alias("p"))
 
@@ -326,36 +327,38 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
 
     fit = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     starred = shared.join(pivots, "key").select("key", "doc", "n", F.col("p.doc").alias("pivot"), F.col("p.n").alias("m"))
-    pairs = common.materialize(reps(starred.where("doc <> pivot").where(fit).select(F.col("pivot").alias("x"), F.col("doc").alias("y")).distinct())).df
-    links = common.materialize(_verify(pairs, docs, rule)).df
+    pairs = reps(starred.where("doc <> pivot").where(fit).select(F.col("pivot").alias("x"), F.col("doc").alias("y")).distinct())
+    pairs = common.materialize(common.few(pairs, found)).df
+    links = common.materialize(common.few(_verify(pairs, docs, rule), pairs, narrow=False)).df
     joined = rep.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
-    part = common.materialize(components(links.unionByName(joined))).df
+    part = common.materialize(common.few(components(links.unionByName(joined)), rep)).df
 
     def part_of(rows: DataFrame, column: str, name: str) -> DataFrame:
         return rows.join(part.withColumnsRenamed({"node": column, "component": name}), column, "left").withColumn(name, F.coalesce(name, column))
 
     # signatures with members that are still apart from their pivot
     apart = part_of(part_of(starred.where("doc <> pivot").select("doc", "pivot").distinct(), "doc", "c"), "pivot", "d").where("c <> d").select("doc", "pivot")
-    apart = common.materialize(apart).df
+    apart = common.materialize(common.few(apart, found)).df
     if not apart.isEmpty():
         torn = starred.join(apart, ["doc", "pivot"], "left_semi").select("key").distinct()
-        members = common.materialize(part_of(shared.join(torn, "key", "left_semi"), "doc", "c")).df
+        members = common.materialize(common.few(part_of(shared.join(torn, "key", "left_semi"), "doc", "c"), found)).df
         size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        members = common.materialize(members.join(size, "key")).df
+        members = common.materialize(common.few(members.join(size, "key"), members)).df
         few = members.where(F.col("size") <= PAIRED)
         other = few.select("key", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
         rest = few.withColumnRenamed("doc", "x").join(other, "key").where("x < y AND c <> d").where(fit).select("x", "y").distinct()
-        rest = common.materialize(reps(rest).join(pairs, ["a", "b"], "left_anti")).df
+        rest = common.materialize(common.few(reps(rest).join(pairs, ["a", "b"], "left_anti"), found)).df
         more = _verify(rest, docs, rule)
         many = members.where(F.col("size") > PAIRED).select("key", "doc")
         if not many.isEmpty():
             many = many.join(rep.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"))
             hung = many.join(many.groupBy("key").agg(F.min("doc").alias("v")), "key").select(F.col("doc").alias("u"), "v").distinct()
-            groups = common.materialize(components(hung)).df
+            hung = common.materialize(common.few(hung, members)).df
+            groups = common.materialize(common.few(components(hung), hung)).df
             more = more.unionByName(_compare(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), docs, rule))
-        more = common.materialize(more).df
+        more = common.materialize(common.few(more, members, narrow=False)).df
         if not more.isEmpty():
-            part = common.materialize(components(links.unionByName(joined).unionByName(more))).df
+            part = common.materialize(common.few(components(links.unionByName(joined).unionByName(more)), rep)).df
     out = info.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

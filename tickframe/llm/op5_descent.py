@@ -175,7 +175,7 @@ def near_dedup(embeddings: DataFrame, threshold: float = 0.98, k: int = 10, run_
     rows = common.materialize(rows.mapInArrow(_unit, "vec_id long, label long, dim int, vec binary")).df
     classes = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
     single = classes.groupBy("node").agg(F.min(F.struct("vec", "label", "dim", "weight")).alias("x"))
-    nodes = common.materialize(single.select("node", "x.label", "x.dim", "x.vec", "x.weight")).df
+    nodes = common.materialize(common.few(single.select("node", "x.label", "x.dim", "x.vec", "x.weight"), rows)).df
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest) / run_length)) + 1)
     together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
@@ -200,7 +200,7 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
     parts = max(common.shuffle_partitions(spark), trees * -(-common.stored_bytes(nodes) // common.TARGET_BYTES))
     order = ["tree", "label", "dim", "code", "at", "node"]
     start = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_runs(k, run_length), "u long, v long, sim double")
-    graph = common.materialize(_top(start, k))
+    graph = common.materialize(common.few(_top(start, k), nodes))
     linked = F.sum(F.size(F.filter("near", lambda x: x["sim"] >= threshold)))
     n_linked = graph.df.agg(linked).first()[0] or 0
     for _ in range(rounds):
@@ -210,7 +210,7 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
         members = lists.join(vectors, "v").groupBy("x").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("v", "worst", "vec")).alias("members")).select("dim", "members")
         better = members.mapInArrow(_local_join, "u long, v long, sim double")
         old = graph.df.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim")
-        then = common.materialize(_top(old.unionByName(better), k))
+        then = common.materialize(common.few(_top(old.unionByName(better), k), nodes))
         graph.drop()
         graph = then
         now = graph.df.agg(linked).first()[0] or 0
@@ -218,8 +218,8 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
             break
         n_linked = now
     near = graph.df.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select("u", "e.v")
-    near = common.materialize(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()).df
-    part = common.materialize(components(near.where("u > v"))).df
+    near = common.materialize(common.few(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), graph.df)).df
+    part = common.materialize(common.few(components(near.where("u > v")), near)).df
     full = graph.df.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold)).select(F.col("u").alias("node"))
     saturated = part.join(full, "node", "left_semi").select("component").distinct()
     weights = nodes.select(F.col("node").alias("v"), "weight")
@@ -230,7 +230,7 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "dim", "vec", "weight")
     counted = dealt.groupBy("component", "low", "high").applyInArrow(_tile(threshold), "node long, n long").groupBy("node").agg(F.sum("n").cast("long").alias("n"))
     whole = dense.join(counted, "node").select("node", "n", "component")
-    return common.materialize(plain.select("node", "n", "component").unionByName(whole)).df
+    return common.materialize(common.few(plain.select("node", "n", "component").unionByName(whole), near)).df
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:

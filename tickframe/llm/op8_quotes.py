@@ -89,7 +89,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     votes = linked.where("to IS NOT NULL").groupBy(*key, "depth", "to").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy(*key).agg(F.max_by("to", F.struct((-F.col("depth")).alias("shallow"), "n", "to")).alias("to"))
     seen = linked.groupBy(*key).agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_quoted"), F.count("to").alias("n_linked"))
-    replies = common.materialize(seen.join(chosen, key, "left")).df
+    replies = common.materialize(common.few(seen.join(chosen, key, "left"), messages)).df
 
     # blocks of a conversation: how many messages come before each, and the last one of the block before it
     blocks = messages.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("in_block", "conv_id", "turn")).alias("last"))
@@ -97,10 +97,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     blocks = blocks.select("conv", "block", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.lag("last").over(order).alias("last_before"))
     # threads: a conversation hangs under the one its first quote of another conversation comes from
     hung = replies.where("to.conv <> conv").groupBy("conv").agg(F.min_by("to.conv", F.struct("block", "in_block")).alias("up"))
-    roots = common.materialize(hung).df
+    roots = common.materialize(common.few(hung, replies)).df
     while not roots.join(roots.select(F.col("conv").alias("up")), "up", "left_semi").isEmpty():
         higher = roots.select(F.col("conv").alias("up"), F.col("up").alias("top"))
-        roots = common.materialize(roots.join(higher, "up", "left").select("conv", F.coalesce("top", "up").alias("up"))).df
+        roots = common.materialize(common.few(roots.join(higher, "up", "left").select("conv", F.coalesce("top", "up").alias("up")), roots)).df
     sizes = messages.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).join(roots, "conv", "left").withColumn("thread", F.coalesce("up", "conv"))
     in_thread = Window.partitionBy("thread").orderBy("conv").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("conv", "thread", F.coalesce(F.sum("n").over(in_thread), F.lit(0)).alias("offset"))
