@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 4 << 20
 #: Stored bytes of input for one partition of a table that is written between steps.
 PART_BYTES = 16 << 20
+#: Seconds between two hints to collect garbage.
+HINT_S = 2.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +48,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Materialized:
     """A table written to the shared folder; `df` reads it back, `drop()` deletes it once no plan needs it."""
 
+    hinted = 0.0
+
     def __init__(self, spark: SparkSession, df: DataFrame):
         self.spark, self.path = spark, f"{shared_dir(spark)}/tickframe/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_delete, spark, self.path)
-        # the job's shuffle files go when the driver has collected its plan; without this hint they stay for the session
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        # a job's shuffle files go when the driver has collected its plan; without this hint they stay for the session
+        if time.monotonic() - Materialized.hinted > HINT_S:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            Materialized.hinted = time.monotonic()
 
     def drop(self) -> None:
         _delete(self.spark, self.path)

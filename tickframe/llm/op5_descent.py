@@ -263,3 +263,21 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(common.table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB: every pair of vectors of a label, and all that each can reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (
+  SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON r.vec_id = l.x
+), c AS (
+  SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id
+)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""

@@ -85,7 +85,7 @@ class TextModel:
 def fit(labelled: DataFrame, languages: list[str] | None = None, sample: int = SAMPLE) -> TextModel:
     """Fit on labelled rows (text, lang): of each language the distinct texts whose hash lies under a bound that leaves about `sample` rows."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes) if languages is None else languages
     counts = np.zeros((len(languages), SLOTS))
 

@@ -22,5 +22,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_substring_dedup": op1_substring.ORACLE_SQL,
+    "op3_ngram_jaccard": op3_jaccard.ORACLE_SQL,
+    "op5_embedding_dedup": op5_descent.ORACLE_SQL,
     "op6_line_dedup": op6_lines.ORACLE_SQL,
 }
