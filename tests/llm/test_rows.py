@@ -181,10 +181,23 @@ def test_quotations(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").repartition(3).withColumn("block", F.lit(9)).withColumn("depth", F.lit(9))
     got = [tuple(r) for r in op8_quotes.link_quotations(df).collect()]
     key = lambda r: (str(r[4]), r[5])
-    assert sorted(got, key=key) == sorted(talk_by_hand(TALK), key=key)
+    assert sorted(got, key=key) == sorted(talk_by_hand(TALK), key=key) == sorted(by_duckdb(TALK), key=key)
     assert op8_quotes.link_quotations(df.where("false")).count() == 0
 
 
+def by_duckdb(rows):
+    import duckdb
+    import pyarrow as pa
+
+    c = duckdb.connect()
+    names = ("conv_id", "turn", "role", "text")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    c.register("conversations", pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))}))
+    r = c.sql(op8_quotes.ORACLE_SQL)
+    order = [r.columns.index(n) for n in ("conv_id", "turn", "role", "text", "thread_id", "position", "parent_conv", "parent_turn", "link", "depth", "n_quoted", "n_linked")]
+    return [tuple(row[k] for k in order) for row in r.fetchall()]
+
+
 def test_many_quotations(spark):
     rng = random.Random(3)
     said, rows = [], []
@@ -200,7 +213,7 @@ def test_many_quotations(spark):
                 lines += rng.choice([[""], []]) + own
             rows.append((c, t * 700, "user", "\n".join(lines)))
     got = [tuple(r) for r in op8_quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
-    assert sorted(got) == sorted(talk_by_hand(rows))
+    assert sorted(got) == sorted(talk_by_hand(rows)) == sorted(by_duckdb(rows))
     assert len({r[4] for r in got}) < 12 and any(r[8] == "quote" for r in got)
 
 

@@ -85,7 +85,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     near = both.where("depth > 0")
     # else the first of all
     first = originals.groupBy("hash").agg(F.min(me).alias("first"))
-    linked = near.join(first, "hash", "left").withColumn("to", F.coalesce("before", F.when(F.col("first") < me, F.col("first"))))
+    linked = near.join(first, "hash", "left").withColumn("to", F.coalesce("before", F.when(F.struct("first.conv", "first.at") < F.struct("conv", "at"), F.col("first"))))
     votes = linked.where("to IS NOT NULL").groupBy(*key, "depth", "to").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy(*key).agg(F.max_by("to", F.struct((-F.col("depth")).alias("shallow"), "n", "to")).alias("to"))
     seen = linked.groupBy(*key).agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_quoted"), F.count("to").alias("n_linked"))
@@ -116,3 +116,48 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
 
 def op8_quotation_linking(spark, sf_dir: str) -> DataFrame:
     return link_quotations(common.table(spark, sf_dir, "conversations"))
+
+
+#: DuckDB: each quoted passage is looked up in all messages.
+ORACLE_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT *, row_number() OVER (ORDER BY conv, tick, role NULLS FIRST, text NULLS FIRST) AS id
+  FROM (SELECT conv_id, turn, role, text, coalesce(conv_id, -9223372036854775808) AS conv, coalesce(turn, -9223372036854775808) AS tick FROM conversations)
+), raw AS (
+  SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT id, string_split(translate(coalesce(text, ''), chr(1) || chr(2) || chr(13), ''), chr(10)) AS ls FROM m)
+), l AS (
+  SELECT id, pos, len(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS depth, regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS body FROM raw
+), b AS (
+  SELECT *, trim(body) = '' AS blank, lag(depth) OVER w AS pd, lead(depth) OVER w AS nd FROM l WINDOW w AS (PARTITION BY id ORDER BY pos)
+), g AS (
+  SELECT *, sum(CASE WHEN blank OR pd IS NULL OR pd <> depth THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS run FROM b
+), p AS (
+  SELECT id, run, min(depth) AS depth, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY pos)), '\s+', ' ', 'g')) AS norm FROM g GROUP BY id, run HAVING trim(translate(string_agg(body, ''), chr(10) || chr(9), '  ')) <> ''
+), q AS (
+  SELECT p.id, p.depth, p.norm, m.conv, m.tick FROM p JOIN m USING (id) WHERE depth > 0
+), o AS (
+  SELECT p.id, p.norm, m.conv, m.tick FROM p JOIN m USING (id) WHERE depth = 0 AND p.norm IN (SELECT norm FROM q)
+), t AS (
+  SELECT id, depth, coalesce((SELECT max(o.id) FROM o WHERE o.norm = q.norm AND o.conv = q.conv AND o.tick < q.tick), (SELECT min(o.id) FROM o WHERE o.norm = q.norm AND (o.conv < q.conv OR (o.conv = q.conv AND o.tick < q.tick)))) AS target FROM q
+), v AS (
+  SELECT id, depth, target, count(*) AS n FROM t WHERE target IS NOT NULL GROUP BY ALL
+), c AS (
+  SELECT id, target FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, n DESC, target DESC) AS k FROM v) WHERE k = 1
+), s AS (
+  SELECT id, max(depth) AS depth, count(*) AS n_quoted, count(target) AS n_linked FROM t GROUP BY id
+), hung AS (
+  SELECT conv, up FROM (SELECT m.conv, x.conv AS up, row_number() OVER (PARTITION BY m.conv ORDER BY m.id) AS k FROM c JOIN m ON m.id = c.id JOIN m x ON x.id = c.target WHERE x.conv <> m.conv) WHERE k = 1
+), r AS (
+  SELECT DISTINCT conv, conv AS top FROM m UNION SELECT r.conv, hung.up FROM r JOIN hung ON r.top = hung.conv
+), th AS (
+  SELECT conv, min(top) AS thread FROM r GROUP BY conv
+), k AS (
+  SELECT id, bool_or(depth > 0) AS quoting, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE depth = 0 AND NOT (coalesce(nd, 0) > 0 AND regexp_matches(body, '(?i)^\s*(on\b.*)?\bwrote:\s*$'))), ''), '^\s+|\s+$', '', 'g') AS cleaned FROM b GROUP BY id
+), f AS (
+  SELECT m.*, th.thread, k.quoting, k.cleaned, c.target, s.depth, s.n_quoted, s.n_linked, lag(m.id) OVER (PARTITION BY m.conv ORDER BY m.id) AS before, row_number() OVER (PARTITION BY th.thread ORDER BY m.id) - 1 AS position
+  FROM m JOIN th USING (conv) JOIN k USING (id) LEFT JOIN c USING (id) LEFT JOIN s USING (id)
+)
+SELECT f.conv_id, f.turn, f.role, CASE WHEN f.quoting THEN f.cleaned ELSE coalesce(f.text, '') END AS text, nullif(f.thread, -9223372036854775808) AS thread_id, f.position, x.conv_id AS parent_conv, x.turn AS parent_turn,
+       CASE WHEN f.target IS NOT NULL THEN 'quote' WHEN f.before IS NOT NULL THEN 'turn' ELSE 'root' END AS link, CAST(coalesce(f.depth, 0) AS BIGINT) AS depth, coalesce(f.n_quoted, 0) AS n_quoted, coalesce(f.n_linked, 0) AS n_linked
+FROM f LEFT JOIN m x ON x.id = coalesce(f.target, f.before)
+"""

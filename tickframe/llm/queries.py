@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op3_ngram_jaccard": op3_jaccard.ORACLE_SQL,
     "op5_embedding_dedup": op5_descent.ORACLE_SQL,
     "op6_line_dedup": op6_lines.ORACLE_SQL,
+    "op8_quotation_linking": op8_quotes.ORACLE_SQL,
 }
