@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common, words, workers
 
 #: A difference cover modulo 7; every residue is a difference of two of its members.
 COVER = (0, 1, 3)
@@ -217,10 +217,10 @@ def substring_dedup(documents: DataFrame, window: int = 13) -> DataFrame:
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "text": pa.array(texts, pa.string()), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())})
 
     sent, reply = "batch int, bucket int, entries binary, bits binary", "batch int, bucket int, bits binary"
-    known = docs.groupBy("batch").applyInArrow(send_anchors, sent).groupBy("bucket").applyInArrow(_anchor_bucket, reply)
-    found = docs.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(send_windows, sent).groupBy("bucket").applyInArrow(_window_bucket, reply)
+    known = docs.groupBy("batch").applyInArrow(workers.by_group(send_anchors), sent).groupBy("bucket").applyInArrow(workers.by_group(_anchor_bucket), reply)
+    found = docs.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(workers.by_group(send_windows), sent).groupBy("bucket").applyInArrow(workers.by_group(_window_bucket), reply)
     both = known.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
-    return docs.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(finish, "doc_id long, text string, n_words long, n_removed long")
+    return docs.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(workers.by_group(finish), "doc_id long, text string, n_words long, n_removed long")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, units
+from . import common, units, workers
 
 _loaded: dict = {}
 
@@ -60,9 +60,10 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024) -> Dat
             n = units.sums(_counts(tokenizer, distinct.to_pylist())[number], offsets)
             size = pc.binary_length(text.cast(pa.binary())).cast(pa.int64())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": size, "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array(n > limit)})
+        _counter(tokenizer)[1].clear()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return docs.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.mapInArrow(workers.by_task(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

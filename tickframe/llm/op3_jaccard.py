@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, units, words
+from . import common, units, words, workers
 from .components import components
 
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -238,7 +238,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 ok = [x is not None and y is not None and rule.linked(known[x], known[y]) for x, y in zip(a_text, b_text)]
                 yield pa.record_batch({"u": b.column("a"), "v": b.column("b")}).filter(pa.array(ok, pa.bool_()))
 
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long").distinct()
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(workers.by_task(check), "u long, v long").distinct()
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) -> np.ndarray:
@@ -298,7 +298,7 @@ def _compare(members: DataFrame, docs: DataFrame, rule: Rule, block: int = 384)
     dealt = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc")
     rows = dealt.join(docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc"), "doc").select("group", "low", "high", "block", "doc", "text")
-    return rows.groupBy("group", "low", "high").applyInArrow(_tile(rule), "u long, v long").where("u <> v").distinct()
+    return rows.groupBy("group", "low", "high").applyInArrow(workers.by_group(_tile(rule)), "u long, v long").where("u <> v").distinct()
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -309,8 +309,8 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     rule = Rule(width, num, den)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     buckets = common.pieces(docs)
-    sent = docs.mapInArrow(_send(rule, buckets), "bucket int, kind int, owners binary, entries binary")
-    found = common.materialize(sent.groupBy("bucket").applyInArrow(_bucket, "kind int, key long, doc long, n long, one long, two long")).df
+    sent = docs.mapInArrow(workers.by_task(_send(rule, buckets)), "bucket int, kind int, owners binary, entries binary")
+    found = common.materialize(sent.groupBy("bucket").applyInArrow(workers.by_group(_bucket), "kind int, key long, doc long, n long, one long, two long")).df
     info = found.where("kind = 0").select(F.when(F.col("key") == 1, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), "one", "two")
     classes = info.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"))
     # every linkable document with the least document of an equal set

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 #: Hashes in a fingerprint, at most.
 LEAST = 64
@@ -135,7 +135,7 @@ def edited_likeness(documents: DataFrame) -> DataFrame:
     sent = docs.join(halo, "bucket", "left").select(F.explode(F.filter(F.array(F.struct("bucket", F.lit(False).alias("halo")), F.struct(F.when(F.col("at") == F.col("top"), F.col("into")).alias("bucket"), F.lit(True).alias("halo"))), lambda x: x["bucket"].isNotNull())).alias("x"), "at", "doc_id", "text").select("x.bucket", "x.halo", "at", "doc_id", "text")
     order = [F.col("bucket"), F.col("halo"), F.col("at").desc(), F.col("text")]
     dealt = sent.repartition(max(n, common.shuffle_partitions(spark)), "bucket").sortWithinPartitions(*order)
-    return dealt.select("bucket", "halo", "doc_id", "text").mapInArrow(_pairs, _OUT)
+    return dealt.select("bucket", "halo", "doc_id", "text").mapInArrow(workers.by_task(_pairs), _OUT)
 
 
 def op4_lempel_ziv(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 from .components import components
 
 #: Sample of nodes (at most) whose links are audited against brute force, at any input size.
@@ -196,10 +196,10 @@ def near_dedup(embeddings: DataFrame, threshold: float = 0.98, k: int = 10, run_
 def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) -> DataFrame:
     """node, n (other vectors linked, but for equal ones), component: nodes with links."""
     spark = nodes.sparkSession
-    planted = nodes.select("node", "label", "dim", "vec").mapInArrow(_plant(trees, bits, seed), "tree int, label long, dim int, code long, at double, node long, vec binary")
+    planted = nodes.select("node", "label", "dim", "vec").mapInArrow(workers.by_task(_plant(trees, bits, seed)), "tree int, label long, dim int, code long, at double, node long, vec binary")
     parts = max(common.shuffle_partitions(spark), trees * -(-common.stored_bytes(nodes) // common.TARGET_BYTES))
     order = ["tree", "label", "dim", "code", "at", "node"]
-    start = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_runs(k, run_length), "u long, v long, sim double")
+    start = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(workers.by_task(_runs(k, run_length)), "u long, v long, sim double")
     graph = common.materialize(common.few(_top(start, k), nodes))
     linked = F.sum(F.size(F.filter("near", lambda x: x["sim"] >= threshold)))
     n_linked = graph.df.agg(linked).first()[0] or 0
@@ -208,7 +208,7 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
         vectors = nodes.join(held, nodes["node"] == held["v"]).select("v", "dim", "vec", "worst")
         lists = graph.df.select(F.col("u").alias("x"), F.explode(F.array_append(F.transform("near", lambda e: e["v"]), F.col("u"))).alias("v"))
         members = lists.join(vectors, "v").groupBy("x").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("v", "worst", "vec")).alias("members")).select("dim", "members")
-        better = members.mapInArrow(_local_join, "u long, v long, sim double")
+        better = members.mapInArrow(workers.by_task(_local_join), "u long, v long, sim double")
         old = graph.df.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim")
         then = common.materialize(common.few(_top(old.unionByName(better), k), nodes))
         graph.drop()

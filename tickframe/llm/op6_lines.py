@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 #: The white space stripped from a line.
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -44,7 +44,7 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ext
             found = [list({h for x in set(_lines(t)) if (h := _key(x, min_chars))}) for t in b.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "keys": pa.array(found, pa.list_(pa.binary()))})
 
-    held = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(keys, "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key"))
+    held = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(workers.by_task(keys), "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key"))
     # count(distinct) would shuffle every row; rows repeat a doc_id rarely, so a cheap upper bound comes first
     often = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.max("doc_id").alias("last")).where(F.col("n_rows") >= min_docs).drop("n_rows")
     in_often = held.join(often, "key")
@@ -68,7 +68,7 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ext
             yield pa.record_batch({"doc_id": b.column("doc_id"), **{c: b.column(c) for c in extra}, "text": pa.array(texts, pa.string()), "n_lines": pa.array(sizes, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    return docs.join(drop, "doc_id", "left").select("doc_id", *extra, "text", "drop").mapInArrow(cut, f"doc_id long, {kept}text string, n_lines long, n_dropped long")
+    return docs.join(drop, "doc_id", "left").select("doc_id", *extra, "text", "drop").mapInArrow(workers.by_task(cut), f"doc_id long, {kept}text string, n_lines long, n_dropped long")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, units
+from . import common, units, workers
 
 MARK = "▁"
 _loaded: dict[str, Pieces] = {}
@@ -61,7 +61,7 @@ class Pieces:
         self.match.make_automaton()
         self.length = {i: len(t) for t, i in (self.id | self.loose).items()}
         self.name = {i: t for t, i in (self.id | self.loose).items()}
-        self.pairs = units.Memory(500_000)
+        self.pairs = units.Memory(150_000)
         self.known = units.Memory()
         raw = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if s else t.replace(MARK, " ").encode() for i, (t, s) in enumerate(zip(self.text, self.special))]
         self.raw = pa.array(raw, pa.large_binary())
@@ -182,6 +182,7 @@ def encoded(model: str):
         pieces = Pieces.load(model)
         for b in units.balanced(batches):
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pieces.encode(b.column("text")).cast(pa.list_(pa.int32()))})
+        pieces.known.clear()
 
     return run
 
@@ -217,7 +218,7 @@ def _docs(documents: DataFrame) -> DataFrame:
 
 def sentencepiece_encode(documents: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (no begin or end ids), one row for each input row. model: path of a .model file."""
-    return _docs(documents).mapInArrow(encoded(model), "doc_id long, ids array<int>")
+    return _docs(documents).mapInArrow(workers.by_task(encoded(model)), "doc_id long, ids array<int>")
 
 
 def sentencepiece_decode(tokens: DataFrame, model: str) -> DataFrame:
@@ -228,7 +229,7 @@ def sentencepiece_decode(tokens: DataFrame, model: str) -> DataFrame:
 def sentencepiece_digest(documents: DataFrame, model: str) -> DataFrame:
     """Encoding, decoding and digests in one pass of one worker: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     encode, decode = encoded(model), decoded(model)
-    return _docs(documents).mapInArrow(lambda batches: digested(decode(encode(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _docs(documents).mapInArrow(workers.by_task(lambda batches: digested(decode(encode(batches)))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 #: Labelled rows used to fit the text model, at most, for each language; the sample is the least by hash.
 SAMPLE = 1000
@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, languages: list[str] | None = None, sample: int = S
         share = min(1.0, sample / max(1, sizes.get(lang, 1)))
         bound = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * share)))).otherwise(bound)
     some = rows.where(F.xxhash64("text") <= bound).distinct().coalesce(8)
-    for r in some.mapInArrow(count, "lang string, counts binary").collect():
+    for r in some.mapInArrow(workers.by_task(count), "lang string, counts binary").collect():
         counts[languages.index(r["lang"])] += np.frombuffer(bytes(r["counts"]), np.int32)
     return TextModel(languages, counts)
 
@@ -161,7 +161,7 @@ def identify(documents: DataFrame, model: TextModel, text: str = "text", declare
 
     def judged(rows: DataFrame) -> DataFrame:
         schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-        return rows.mapInArrow(judge, ", ".join([*schema, "__n long", "__best double", "__logs array<double>", "__post array<double>"]))
+        return rows.mapInArrow(workers.by_task(judge), ", ".join([*schema, "__n long", "__best double", "__logs array<double>", "__post array<double>"]))
 
     # texts are judged twice, once for the sums and once for the result: cheaper than to keep them anywhere in between
     keys = [f"__{k}" for k, c in names.items() if c]

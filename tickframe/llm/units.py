@@ -65,6 +65,10 @@ class Memory:
     def __init__(self, most: int = 250_000):
         self.most, self.young, self.old = most, {}, {}
 
+    def clear(self) -> None:
+        """Forget all: a task's memory ends with it."""
+        self.young, self.old = {}, {}
+
     def get(self, key):
         found = self.young.get(key)
         if found is None and (found := self.old.get(key)) is not None:
