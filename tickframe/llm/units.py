@@ -18,7 +18,7 @@ _RUN = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}][ \n]"
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n])")
 
 #: Texts are gathered to batches of about this many bytes before they are encoded.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 
 def balanced(batches, column: str = "text", most: int = BATCH_BYTES):
@@ -62,7 +62,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Memory:
     """A cache of bounded size in two generations: when the young one is full it becomes the old one, which is dropped."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 120_000):
         self.most, self.young, self.old = most, {}, {}
 
     def clear(self) -> None:

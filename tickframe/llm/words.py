@@ -11,7 +11,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Bytes of text hashed in one vectorised step; bounds the memory of the temporary arrays.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
