@@ -241,7 +241,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(workers.by_task(check), "u long, v long").distinct()
 
 
-def _common(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) -> np.ndarray:
+def _common(a: list[np.ndarray], b: list[np.ndarray], step: int = 1024) -> np.ndarray:
     """Sizes of the intersections of each set of a with each of b, by products of incidence matrices."""
     values = np.concatenate([*a, *b])
     row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
@@ -292,7 +292,7 @@ def _tile(rule: Rule):
     return run
 
 
-def _compare(members: DataFrame, docs: DataFrame, rule: Rule, block: int = 384) -> DataFrame:
+def _compare(members: DataFrame, docs: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     """Links (u, v) that connect what is linked within each group of members (doc, group)."""
     size = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / float(block)).alias("blocks"))
     dealt = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
