@@ -351,8 +351,9 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
         more = _verify(rest, docs, rule)
         many = members.where(F.col("size") > PAIRED).select("key", "doc")
         if not many.isEmpty():
-            many = many.join(rep.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"))
-            hung = many.join(many.groupBy("key").agg(F.min("doc").alias("v")), "key").select(F.col("doc").alias("u"), "v").distinct()
+            # few distinct pairs are left of many memberships before documents become their equal sets' least ones
+            hung = many.join(many.groupBy("key").agg(F.min("doc").alias("v")), "key").select("doc", "v").distinct()
+            hung = hung.join(rep.withColumnsRenamed({"doc_id": "doc", "rep": "u"}), "doc").join(rep.withColumnsRenamed({"doc_id": "v", "rep": "w"}), "v").select("u", F.col("w").alias("v")).distinct()
             hung = common.materialize(common.few(hung, members)).df
             groups = common.materialize(common.few(components(hung), hung)).df
             more = more.unionByName(_compare(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), docs, rule))
