@@ -75,6 +75,27 @@ def test_vectors(spark, k, tile):
     assert got == links(rows)
 
 
+def test_tight_clusters_side_by_side(spark, monkeypatch):
+    """More than k neighbours within each cluster, all nearer than the links across."""
+    rng = np.random.default_rng(2)
+    a = np.eye(16)[0]
+    b = 0.985 * a + (1 - 0.985**2) ** 0.5 * np.eye(16)[1]
+    rows = [(i, [float(x) for x in np.float32(c + 0.002 * rng.standard_normal(16))], label) for i, (c, label) in enumerate([(a, 1)] * 30 + [(b, 1)] * 30 + [(a, 2)] * 30 + [(-a, 2)] * 30)]
+    want = links(rows)
+    assert [w[1] for w in want[:60]] == [59] * 60 and {w[2] for w in want} == {0, 60, 90}
+    df = spark.createDataFrame(rows, VECTORS)
+    assert sorted(tuple(r) for r in op5_descent.near_dedup(df).collect()) == want
+    monkeypatch.setattr(op5_descent, "BLOCK", 8)  # several blocks
+    assert sorted(tuple(r) for r in op5_descent.near_dedup(df).collect()) == want
+
+
+def test_short_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op5_descent, "_audit", lambda *a: 0.5)
+    df = spark.createDataFrame([(i, [1.0, 0.1 * i], 1) for i in range(4)], VECTORS)
+    with pytest.raises(RuntimeError, match="0.5000"):
+        op5_descent.near_dedup(df, miss=1e-300, threshold=0.9, run_length=2).count()
+
+
 def test_odd_vectors(spark):
     v = [1.0, 2.0]
     df = spark.createDataFrame([(None, v, 1), (5, v, 1), (5, v, 1), (6, [1.0, None], 1), (7, [], 1)], VECTORS)

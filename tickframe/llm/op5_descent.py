@@ -6,10 +6,12 @@
    label sizes: so many that a pair at the threshold shares a run in one of them with the wanted probability.
 2. NN-descent: the neighbours of each node are compared with each other, and pairs better than what their ends have are
    kept, until a round adds no pair over the threshold.
-3. Pairs over the threshold are links. Where a node's list is saturated (even its last neighbour is a link), lists are
-   enlarged to the whole component: its members are compared in tiles of bounded size, which return counts, not pairs.
+3. Pairs over the threshold are links. A pair that was compared is missing from both ends' lists only if both are
+   saturated (even the last neighbour is a link), so all saturated nodes of a label are compared with those of its other
+   components, in blocks that return which components are linked. Where a node's list is saturated, lists are then enlarged
+   to the whole component: its members are compared in tiles of bounded size, which return counts, not pairs.
 4. A bounded sample of nodes is compared with all vectors; if the links found fall short of the wanted recall, more trees
-   are grown and all is repeated.
+   are grown and all is repeated. If they still do with over 512 trees, the operator fails.
 
 Nulls: vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing and
 are their own component; a null vec_id gets a null component and is kept. Repeated rows are links of each other. Where
@@ -31,6 +33,9 @@ from .components import components
 
 #: Sample of nodes (at most) whose links are audited against brute force, at any input size.
 AUDITED = 200
+#: Saturated nodes of a label in one block, at most about; fewer while that makes no more than SPREAD blocks.
+BLOCK = 1 << 16
+SPREAD = 8
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -158,6 +163,38 @@ def _tile(threshold: float):
     return run
 
 
+def _bridges(threshold: float, step: int = 1024):
+    """Linked components of two blocks of saturated nodes, as a forest."""
+
+    def run(key, rows):
+        dim, low, high = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        block, part = rows["block"].to_numpy(), rows["component"].to_numpy()
+        x = _matrix(rows["vec"].combine_chunks() if isinstance(rows["vec"], pa.ChunkedArray) else rows["vec"], dim)
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        # by component, so that most steps within one need no products
+        one, two = (side[np.argsort(part[side], kind="stable")] for side in (np.flatnonzero(block == low), np.flatnonzero(block == high)))
+        for i in range(0, len(one), step):
+            for j in range(0, len(two), step):
+                a, b = one[i : i + step], two[j : j + step]
+                p, q = part[a], part[b]
+                if p[0] == p[-1] == q[0] == q[-1]:
+                    continue
+                r, c = np.nonzero((x[a] @ x[b].T >= threshold) & (p[:, None] != q[None, :]))
+                for u, v in np.unique(np.stack([p[r], q[c]], axis=1), axis=0).tolist():
+                    u, v = find(u), find(v)
+                    root[max(u, v)] = min(u, v)
+        joined = [(c, find(c)) for c in root if find(c) != c]
+        return pa.table({"u": pa.array([u for u, _ in joined], pa.int64()), "v": pa.array([v for _, v in joined], pa.int64())})
+
+    return run
+
+
 def _top(edges: DataFrame, k: int) -> DataFrame:
     """u, near (array of (sim, v), best first, k at most)."""
     # the same pair measured in other places may differ in its last digits
@@ -182,8 +219,11 @@ def near_dedup(embeddings: DataFrame, threshold: float = 0.98, k: int = 10, run_
     trees = max(2, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - 0.9 * together))))
     while True:
         found = _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed)
-        if trees > 512 or _audit(nodes, found, threshold) >= recall:
+        reached = _audit(nodes, found, threshold)
+        if reached >= recall:
             break
+        if trees > 512:
+            raise RuntimeError(f"{trees} trees find {reached:.4f} of the links of a sample, {recall} are wanted")
         trees, seed = trees * 2, seed + 1
     own = classes.join(nodes.select("node", F.col("vec").alias("node_vec"), F.col("label").alias("node_label")), "node", "left").select("label", "dim", "vec", F.col("node"), "weight", ((F.col("vec") == F.col("node_vec")) & (F.col("label") == F.col("node_label"))).alias("takes_part"))
     known = own.join(found, "node", "left").select("label", "dim", "vec", (F.col("weight") - 1 + F.when(F.col("takes_part"), F.coalesce("n", F.lit(0))).otherwise(0)).alias("n"), F.when(F.col("takes_part"), F.coalesce("component", "node")).otherwise(F.col("node")).alias("component"))
@@ -221,6 +261,7 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
     near = common.materialize(common.few(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), graph.df)).df
     part = common.materialize(common.few(components(near.where("u > v")), near)).df
     full = graph.df.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold)).select(F.col("u").alias("node"))
+    part = _across(nodes, part, full, threshold)
     saturated = part.join(full, "node", "left_semi").select("component").distinct()
     weights = nodes.select(F.col("node").alias("v"), "weight")
     plain = part.join(saturated, "component", "left_anti").join(near, F.col("node") == F.col("u")).join(weights, "v").groupBy("node").agg(F.sum("weight").cast("long").alias("n"), F.first("component").alias("component"))
@@ -233,6 +274,21 @@ def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) ->
     return common.materialize(common.few(plain.select("node", "n", "component").unionByName(whole), near)).df
 
 
+def _across(nodes: DataFrame, part: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """part (node, component), with components joined where saturated nodes of theirs are linked."""
+    ends = common.materialize(common.few(part.join(full, "node", "left_semi").join(nodes.select("node", "label", "dim", "vec"), "node"), nodes))
+    blocks = F.greatest(F.ceil(F.col("size") / float(BLOCK)), F.least(F.lit(SPREAD).cast("long"), F.ceil(F.col("size") / 1024.0)))
+    several = ends.df.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("label", "dim", blocks.alias("blocks"))
+    member = ends.df.join(several, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("label", "dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "vec")
+    linked = common.materialize(common.few(dealt.groupBy("label", "dim", "low", "high").applyInArrow(_bridges(threshold), "u long, v long").distinct(), nodes))
+    ends.drop()
+    if linked.df.isEmpty():
+        return part
+    root = components(linked.df).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return common.materialize(common.few(part.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), part)).df
+
+
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
     """Share of the sampled nodes' true links that were found; the sample is bounded, what it is compared with is not."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED // 2).select("node", "label", "dim", "vec")
