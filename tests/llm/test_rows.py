@@ -297,6 +297,11 @@ def test_markup(spark):
     assert r[0] == "de" and r[1].split() == ["ja", "nein"]
 
 
+def test_late_markup(spark):
+    html = f"<!-- {'licence ' * 2000} -->" + "\n" * 5000 + '<html lang="fr">'
+    assert spark.createDataFrame([(html,)], "h string").select(op9_language.declared_of(F.col("h"))).first()[0] == "fr"
+
+
 def shares(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     """Targets by resharing the excess until none is above its limit. sizes: (source, words) in order."""
     w = {s: weights[k % 3] for k, (s, _) in enumerate(sizes)}

@@ -124,7 +124,7 @@ def suffix_of(url: Column) -> Column:
 
 def declared_of(html: Column) -> Column:
     """The language a page's markup declares."""
-    found = F.regexp_extract(F.substring(html, 1, 4096), r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)
+    found = F.regexp_extract(html, r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)
     return F.lower(F.nullif(found, F.lit("")))
 
 
