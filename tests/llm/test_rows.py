@@ -282,6 +282,16 @@ def test_evidence_decides_short_texts(spark):
     assert got[102][0] == plain[102] and got[200][0] == "en"
 
 
+@pytest.mark.parametrize("sample", [0, 5])
+def test_repeated_texts_leave_the_sample_whole(spark, sample):
+    once = spark.createDataFrame([(f"{w} und {w} oder", "de") for w in ("haus", "maus", "baum")] + [(f"{w} and {w} or", "en") for w in ("house", "mouse", "tree")], "text string, lang string")
+    often = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("lang") == "de", 3000).otherwise(1)))).drop("k")
+    model = op9_language.fit(often, sample=sample)
+    assert np.array_equal(model.log, op9_language.fit(once, sample=sample).log)
+    assert not np.array_equal(model.log[:, 0], model.log[:, 1])
+    assert model.judge("haus und haus oder")[1].argmax() == 0 and model.judge("house and house or")[1].argmax() == 1
+
+
 @pytest.mark.parametrize(
     ("url", "host", "domain", "suffix"),
     [("https://Blog.A.example.de:80/x", "blog.a.example.de", "example.de", "de"), ("http://x.example.com/fr/12?a", "x.example.com", "example.com", "fr"), ("http://u@y.org", "y.org", "y.org", "org"), ("nonsense", None, None, None), (None, None, None, None)],

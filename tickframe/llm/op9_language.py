@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common, workers
 
-#: Labelled rows used to fit the text model, at most, for each language; the sample is the least by hash.
+#: Distinct labelled texts used to fit the text model, about, for each language; the sample is the least by hash.
 SAMPLE = 1000
 #: Bytes of a text that are hashed in one step; bounds memory, not what is read.
 STEP = 1 << 20
@@ -83,9 +83,10 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, languages: list[str] | None = None, sample: int = SAMPLE) -> TextModel:
-    """Fit on labelled rows (text, lang): of each language the distinct texts whose hash lies under a bound that leaves about `sample` rows."""
+    """Fit on labelled rows (text, lang): of each language the distinct texts whose hash lies under a bound that leaves about `sample` of them, one at least."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashes = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()}
     languages = sorted(sizes) if languages is None else languages
     counts = np.zeros((len(languages), SLOTS))
 
@@ -99,8 +100,9 @@ def fit(labelled: DataFrame, languages: list[str] | None = None, sample: int = S
 
     bound = F.lit(None).cast("long")
     for lang in languages:
-        share = min(1.0, sample / max(1, sizes.get(lang, 1)))
-        bound = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * share)))).otherwise(bound)
+        n, least = sizes.get(lang, (1, -(1 << 63)))
+        upto = min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, sample / n)))
+        bound = F.when(F.col("lang") == lang, F.lit(max(upto, least))).otherwise(bound)
     some = rows.where(F.xxhash64("text") <= bound).distinct().coalesce(8)
     for r in some.mapInArrow(workers.by_task(count), "lang string, counts binary").collect():
         counts[languages.index(r["lang"])] += np.frombuffer(bytes(r["counts"]), np.int32)
