@@ -140,6 +140,39 @@ def test_broadcast_failures():
         c.sync()
 
 
+@pytest.mark.parametrize("kind", ["full", "delta"])
+def test_failed_requests_are_no_empty_fragments(kind):
+    s = Server({"sync": (200, json.dumps(INFO).encode()), f"7/{kind}": OSError("refused")})
+    with pytest.raises(SourceIOError, match="refused"):
+        s.client().fragment(7, kind)
+
+
+def test_broken_bodies():
+    import http.server
+    import threading
+
+    class H(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            body = json.dumps(INFO).encode() if self.path == "/sync" else b"short"
+            self.send_header("Content-Length", str(len(body) + (0 if self.path == "/sync" else 9)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), H)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        c = broadcast.BroadcastClient(f"http://127.0.0.1:{server.server_port}")
+        assert c.fragment(7, "delta") == b"" and c.skipped == 1
+        with pytest.raises(SourceIOError):
+            c.fragment(7, "full")
+    finally:
+        server.shutdown()
+
+
 def test_backoff():
     c = broadcast.ClientConfig()
     assert [c.backoff(k) for k in (1, 2, 3, 4, 5, 9)] == [0.5, 1, 2, 4, 4, 4]

@@ -6,7 +6,9 @@ JSON lines; other encodings are decoded by a function given to the client.
 
 from __future__ import annotations
 
+import http.client
 import json
+import logging
 import time
 import urllib.error
 import urllib.request
@@ -62,11 +64,18 @@ class Cancelled(SourceIOError):
     """The client was told to stop."""
 
 
+class BodyError(OSError):
+    """A request was answered, but its body broke off."""
+
+
 def http_get(url: str, timeout: float) -> tuple[int, bytes]:
-    """(status, body); connection failures raise OSError."""
+    """(status, body); connection failures raise OSError, bodies that break off BodyError."""
     try:
         with urllib.request.urlopen(url, timeout=timeout) as r:
-            return r.status, r.read()
+            try:
+                return r.status, r.read()
+            except (OSError, http.client.HTTPException) as e:
+                raise BodyError(f"{url}: {e!r}") from e
     except urllib.error.HTTPError as e:
         return e.code, b""
 
@@ -77,6 +86,7 @@ class BroadcastClient:
     def __init__(self, url: str, config: ClientConfig = ClientConfig(), get: Callable[[str, float], tuple[int, bytes]] = http_get, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, cancelled: Callable[[], bool] = lambda: False):
         self.url, self.config, self.get, self.sleep, self.clock, self.cancelled = url.rstrip("/"), config, get, sleep, clock, cancelled
         self.info: SyncInfo | None = None
+        self.skipped = 0
 
     def _try(self, url: str) -> tuple[int, bytes]:
         if self.cancelled():
@@ -107,14 +117,16 @@ class BroadcastClient:
         return self._until(f"{self.url}/{info.signup_fragment}/start", self.config.start_timeout, lambda b: b)
 
     def fragment(self, number: int, kind: str) -> bytes | None:
-        """A fragment's body; None if it stays missing. An unreadable body is skipped (empty)."""
+        """A fragment's body; None if it stays missing. A delta whose body breaks off is skipped (empty) and counted."""
         info = self.info or self.sync()
         for attempt in range(self.config.delta_retries + 1):
             try:
                 status, body = self._try(f"{self.url}/{number}/{kind}")
-            except Cancelled:
-                raise
-            except OSError:
+            except OSError as e:
+                if kind != "delta" or not isinstance(e, BodyError):
+                    raise SourceIOError(f"fragment {number}/{kind}: {e}") from e
+                self.skipped += 1
+                logging.getLogger(__name__).warning("fragment %d/%s skipped, %d so far: %s", number, kind, self.skipped, e)
                 return b""
             if status == 200:
                 return body
