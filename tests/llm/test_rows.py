@@ -364,17 +364,66 @@ def test_mix_keeps_expectations(spark):
     """Over many seeds each document is taken about as often as its share asks for."""
     rows = [(i, "w " * (1 + i % 7), s) for i, s in enumerate("aab" * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sized = op10_mix.sizes(df)
-    goal = common.materialize(op10_mix.targets(sized)).df
+    groups = common.materialize(op10_mix.grouped(df)).df
+    goal = common.materialize(op10_mix.targets(groups)).df
     n, taken = 12, {}
     for seed in range(n):
-        for r in op10_mix.copies(sized, goal, seed).collect():
-            taken[r.source] = taken.get(r.source, 0) + r.copies / n
+        for r in op10_mix.rounded(groups, goal, seed).collect():
+            taken[r.source] = taken.get(r.source, 0) + r.total / n
     ratio = {r.source: r.target / r.source_size for r in goal.collect()}
     count = {s: sum(x == s for _, _, x in rows) for s in "ab"}
     assert all(abs(taken[s] / count[s] - ratio[s]) < 0.1 for s in "ab")
 
 
+def test_one_doc_id_in_several_sources(spark, monkeypatch):
+    """Equal ids and sizes in other sources, null ids too, keep rows of their own; large groups are dealt in chunks."""
+    monkeypatch.setattr(op10_mix, "CHUNK", 16)
+    rows = [(i, "a b c", s) for i in (1, 2, None) for s in ("x", "y", None)] + [(7, "q w", "x")] * 100 + [(None, "q w", "y")] * 40 + [(7, "q w", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = op10_mix.mix(df).collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted((key((r.doc_id, r.size, r.source)) for r in got)) == sorted(key((i, len(t.split()), s)) for i, t, s in rows)
+    groups = {}
+    for r in got:
+        groups.setdefault((r.doc_id, r.source, r.size), []).append(r.copies)
+    for (_, source, size), copies in groups.items():
+        assert max(copies) - min(copies) <= 1 and max(copies) <= 2
+    for source in ("x", "y", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 3
+
+
+def fold_by_hand(items, draw):
+    """Pivotal rounding of [id, weight, fraction] in order, one by one; draw gives each pair's number in [0, 1)."""
+    out, left = {}, None
+    for x in items:
+        if left is None:
+            left = list(x)
+        else:
+            a, b = left, list(x)
+            up, down = min((1 - a[2]) * a[1], b[2] * b[1]), min(a[2] * a[1], (1 - b[2]) * b[1])
+            move = up if draw(a[0], b[0]) * (up + down) < down else -down
+            a[2], b[2] = a[2] + move / a[1], b[2] - move / b[1]
+            done, left = (a, b) if min(a[2], 1 - a[2]) <= min(b[2], 1 - b[2]) else (b, a)
+            out[done[0]] = round(done[2])
+        if min(left[2], 1 - left[2]) < 1e-9:
+            out[left[0]], left = round(left[2]), None
+    return out, left
+
+
+def test_fold_equals_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, float(rng.choice([1, 2, 5, 9])), rng.choice([0.1, 0.25, 0.5, 0.75])) for i in range(40)]
+    hashed = spark.createDataFrame([(a, wa, b, wb) for a, wa, _ in items for b, wb, _ in items if a != b], "a long, wa double, b long, wb double")
+    zero = F.lit(0).cast("long")
+    draws = {(r.a, r.b): r.u for r in hashed.select("a", "b", op10_mix._uniform(F.lit(3), F.lit("pivot"), "a", zero, "wa", "b", zero, "wb").alias("u")).collect()}
+    df = spark.createDataFrame([([(w, p, i, 0, 1, 0) for i, w, p in items],)], f"xs array<{op10_mix._ITEM}>")
+    got = df.select(op10_mix._fold(F.col("xs"), 3).alias("f")).first().f
+    want, left = fold_by_hand(items, lambda a, b: draws[a, b])
+    assert {d.doc_id: d.p for d in got.done} == want
+    assert (left is None and got.left is None) or (got.left.doc_id == left[0] and abs(got.left.p - left[2]) < 1e-9)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "a b", "s")]])
 def test_small_mixes(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

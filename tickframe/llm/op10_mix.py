@@ -7,12 +7,15 @@ carries the residual to its next pair. Documents are dealt to blocks of bounded
 one residual, the residuals of many blocks are folded again, and so on up a tree, until a source has one residual left,
 which is rounded by itself. A source's words so miss its target by less than the size of one document.
 
-Only built-in DataFrame functions are used. Repeated rows are counted before they are dealt, so that no group of copies
-lands in one block; all randomness is hashes of (seed, doc_id, copy number), so reruns agree.
+Equal rows are one item with a count: pairing equals among themselves leaves floor(n p) of n taken once more and one
+residual, so a group of copies is one row whatever its size, and its decision is dealt to its rows by arithmetic. Items
+carry all that the result needs, so decisions are never joined back to documents.
+
+Only built-in DataFrame functions are used. All randomness is hashes of (seed, doc_id, size, key), so reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is dealt like any other.
-Documents of size 0 are taken zero times. An empty table gives an empty result. Other columns are ignored by the query's
-digest and kept by mixed().
+Rows that agree in doc_id, source and size (and key, see allot) share their copies evenly. Documents of size 0 are taken
+zero times. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Mean number of residuals folded in one block of the tree.
-BLOCK = 256
+BLOCK = 64
+#: Rows that one row is repeated to within a task; those of more are split and dealt first.
+CHUNK = 1 << 16
 #: The words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 _TINY = 1e-9
@@ -39,20 +44,21 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of every row."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size"))
+def grouped(documents: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, source, size (words), key, n: one row for each group of equal rows; a group is combined before it is shuffled."""
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size"), (F.lit(0) if key is None else key).cast("long").alias("key"))
+    return own.groupBy("source", "doc_id", "size", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target, n_rows: one row for each source.
+def targets(groups: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target, n_rows: one row for each source of groups (source, size, n).
 
     Sources in order of code points (null last) weigh the given weights, repeating; together they are to have share times
     all words; no target is above most times its source's size, and what is cut goes to the others by weight. With the
     sources in order of (limit over weight), those cut are a prefix; running sums find where it ends. Those sums run over
     one row a source in one sorted, spilling task; everything a document goes through is dealt by (source, block).
     """
-    by = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    by = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     whole = Window.partitionBy()
     weight = F.array(*(F.lit(float(w)) for w in weights))
     ranked = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -66,22 +72,22 @@ def targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most:
     return found.select("source", "source_size", F.coalesce(F.least("limit", F.col("first.level") * F.col("weight")), F.col("limit")).alias("target"), "n_rows")
 
 
-_ITEM = "struct<w: double, p: double, doc_id: bigint, copy: bigint>"
+_ITEM = "struct<w: double, p: double, doc_id: bigint, key: bigint, n: bigint, whole: bigint>"
 
 
-def _fold(items: Column) -> Column:
+def _fold(items: Column, seed: int) -> Column:
     """struct(left: the one that stays fractional or null, done: all others with p = 0 or 1)."""
     none = F.lit(None).cast(_ITEM)
     start = F.struct(none.alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
 
     def at(x: Column, p: Column) -> Column:
-        return F.struct(x["w"].alias("w"), p.cast("double").alias("p"), x["doc_id"].alias("doc_id"), x["copy"].alias("copy")).cast(_ITEM)
+        return x.withField("p", p.cast("double"))
 
     def step(state: Column, x: Column) -> Column:
         a = state["left"]
         up = F.least((1 - a["p"]) * a["w"], x["p"] * x["w"])  # mass that can move to a
         down = F.least(a["p"] * a["w"], (1 - x["p"]) * x["w"])  # and to x
-        to_a = _uniform(F.lit("pivot"), a["doc_id"], a["copy"], x["doc_id"], x["copy"]) * (up + down) < down
+        to_a = _uniform(F.lit(seed), F.lit("pivot"), a["doc_id"], a["key"], a["w"], x["doc_id"], x["key"], x["w"]) * (up + down) < down
         move = F.when(to_a, up).otherwise(-down)
         pa, px = a["p"] + move / a["w"], x["p"] - move / x["w"]
         # one of the two is whole up to rounding: of the nearer to a whole number
@@ -96,48 +102,64 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
-def copies(sized: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row for each row of sized."""
-    spark = sized.sparkSession
-    # repeated rows become numbered copies of one
-    rows = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
-    g = goal.withColumnRenamed("source", "g_source")
-    joined = rows.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    base = F.floor(ratio + F.lit(_TINY)).cast("double")
-    fraction = F.greatest(ratio - base, F.lit(0.0))
-    wanted = joined.select("doc_id", "copy", "source", "size", "source_size", "target", "n_rows", F.when(F.col("size") > 0, base).otherwise(F.lit(0.0)).alias("base"), F.when((F.col("size") > 0) & (fraction >= _TINY), fraction).otherwise(F.lit(0.0)).alias("p"))
-    held = common.materialize(common.few(wanted, sized)).df
+def allot(documents: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 7, key: Column | None = None) -> DataFrame:
+    """doc_id, source, size, key, n, source_size, target, total: the copies that the mix takes of each group of n equal rows.
+
+    key: a long that tells rows of equal doc_id, source and size apart, such as a hash of their other columns.
+    """
+    groups = common.materialize(grouped(documents, key))
+    goal = common.materialize(targets(groups.df, weights, share, most)).df
+    return rounded(groups.df, goal, seed)
+
+
+def rounded(groups: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
+    """The groups (doc_id, source, size, key, n) with source_size, target and total."""
+    joined = groups.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    ratio = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    wanted = joined.withColumn("wanted", ratio * F.col("n")).withColumn("whole", F.floor(F.col("wanted") + F.lit(_TINY)).cast("long"))
+    fraction = F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0))
+    held = wanted.select("doc_id", "source", "size", "key", "n", "n_rows", "whole", F.when(fraction >= _TINY, fraction).otherwise(F.lit(0.0)).alias("p"))
 
     # levels of the tree: until the largest source's residuals fit in one block
     largest = goal.agg(F.max("n_rows")).first()[0] or 0
     levels = 1
-    while largest > BLOCK ** levels:
+    while largest > BLOCK**levels:
         levels += 1
-    item = F.struct(F.col("size").cast("double").alias("w"), "p", "doc_id", "copy").cast(_ITEM)
+    item = F.struct(F.col("size").cast("double").alias("w"), "p", "doc_id", "key", "n", "whole").cast(_ITEM)
     left = held.where("p > 0").select("source", "n_rows", item.alias("x"))
-    decided = None
+    decided = held.where("p = 0").select("source", "doc_id", "size", "key", "n", F.col("whole").alias("total"))
+
+    def result(rows: DataFrame, one: Column) -> DataFrame:
+        return rows.select("source", F.col("x.doc_id").alias("doc_id"), F.col("x.w").cast("long").alias("size"), F.col("x.key").alias("key"), F.col("x.n").alias("n"), (F.col("x.whole") + one).cast("long").alias("total"))
+
     for level in range(levels):
         blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_rows") / float(BLOCK ** (level + 1)))) if level < levels - 1 else F.lit(1).cast("long")
-        dealt = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "x.doc_id", "x.copy"), blocks))
+        dealt = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "x.doc_id", "x.key", "x.w"), blocks))
         # large documents first, so that the residual left at the end tends to be small
-        folded = dealt.groupBy("source", "block").agg(F.first("n_rows").alias("n_rows"), F.reverse(F.array_sort(F.collect_list("x"))).alias("xs")).select("source", "n_rows", _fold(F.col("xs")).alias("f"))
-        folded = common.materialize(common.few(folded, held)).df
-        done = folded.select(F.explode("f.done").alias("x"))
-        decided = done if decided is None else decided.unionByName(done)
+        folded = dealt.groupBy("source", "block").agg(F.first("n_rows").alias("n_rows"), F.reverse(F.array_sort(F.collect_list("x"))).alias("xs")).select("source", "n_rows", _fold(F.col("xs"), seed).alias("f"))
+        folded = common.materialize(folded).df
+        decided = decided.unionByName(result(folded.select("source", F.explode("f.done").alias("x")), F.col("x.p")))
         left = folded.where("f.left IS NOT NULL").select("source", "n_rows", F.col("f.left").alias("x"))
     # the last residual of each source stands alone
-    alone = left.select(F.struct(F.col("x.w").alias("w"), F.when(_uniform(F.lit(seed), F.lit("last"), F.col("x.doc_id"), F.col("x.copy")) < F.col("x.p"), 1.0).otherwise(0.0).alias("p"), F.col("x.doc_id").alias("doc_id"), F.col("x.copy").alias("copy")).cast(_ITEM).alias("x"))
-    one = decided.unionByName(alone).select(F.col("x.doc_id").alias("d"), F.col("x.copy").alias("c"), F.col("x.p").alias("one"), F.col("x.w").cast("long").alias("s"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("size") == F.col("s"))
-    return held.join(one, same, "left").select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.coalesce("one", F.lit(0.0))).cast("long").alias("copies"))
+    alone = _uniform(F.lit(seed), F.lit("last"), F.col("x.doc_id"), F.col("x.key"), F.col("x.w")) < F.col("x.p")
+    decided = decided.unionByName(result(left, F.when(alone, 1).otherwise(0)))
+    by = goal.select(F.col("source").alias("s"), "source_size", "target")
+    return decided.join(by, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
+def repeated(rows: DataFrame, times: Column, number: str) -> DataFrame:
+    """Each row `times` times, numbered from 1; many repetitions are dealt over tasks in chunks."""
+    few = rows.where(times <= CHUNK).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    begun = rows.where(times > CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), times - 1, F.lit(CHUNK).cast("long")))).repartition(common.shuffle_partitions(rows.sparkSession))
+    many = begun.withColumn(number, F.explode(F.sequence(F.col(number) + 1, F.least(times, F.col(number) + CHUNK))))
+    return few.unionByName(many)
 
 
 def mix(documents: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each row of documents."""
-    sized = common.materialize(sizes(documents)).df
-    goal = common.materialize(targets(sized, weights, share, most)).df
-    return copies(sized, goal, seed)
+    taken = repeated(allot(documents, weights, share, most, seed), F.col("n"), "number")
+    copies = F.floor(F.col("total") / F.col("n")) + F.when(F.col("number") <= F.col("total") % F.col("n"), 1).otherwise(0)
+    return taken.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
