@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import common, op3_jaccard, op6_lines, op7_pieces, op9_language, op10_mix
@@ -42,15 +42,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    taken = op10_mix.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    # rows that agree in doc_id, source and size share their copies evenly, the first ones taking what is left over
-    sized = docs.select(*COLUMNS, op10_mix.size_of("text").alias("size"))
-    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))
-    joined = sized.join(taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies", "rows"), same)
-    number = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("text"))
-    each = F.floor(F.col("copies") / F.col("rows")) + F.when(number <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    return joined.withColumn("each", each.cast("int")).where("each > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("each")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: 0, 1 or 2 times. Equal rows share their copies; nothing is collected."""
+    key = F.xxhash64(*COLUMNS)
+    taken = op10_mix.allot(docs, key=key).where("total > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("key").alias("k"), "n", "total")
+    taken = common.materialize(taken).df
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("own"))
+    keyed = docs.select(*COLUMNS, key.alias("own"))
+    one = keyed.join(taken.where("n = 1"), same).select(*COLUMNS, "total")
+    # groups of equal rows are combined to one before they are taken as often as all of them together
+    many = keyed.join(taken.where("n > 1"), same).groupBy(*COLUMNS, "total").agg(F.count(F.lit(1)).alias("rows")).select(*COLUMNS, "total")
+    return op10_mix.repeated(one.unionByName(many), F.col("total"), "copy").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
