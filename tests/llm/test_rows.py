@@ -264,10 +264,105 @@ def test_language_rejects_and_keeps(spark, sf):
     rng = random.Random(1)
     junk = ["", None, "  \n", "12345 678 !!! ???", "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(2000)), "漢字仮名交じり文" * 50]
     rows = [(i, t) for i, t in enumerate([good, good * 300, good, *junk])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("language", F.lit("clash"))
-    got = {r.doc_id: r.rejected for r in op9_language.identify(df.drop("language"), model).collect()}
-    assert got == {k: k > 2 for k in range(len(rows))}
-    assert op9_language.identify(df.drop("language").where("false"), model).count() == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("language", F.lit("clash")).withColumn("__n", F.lit(5)).withColumn("___post", F.lit("kept")).withColumn("rejected", F.lit(9))
+    out = op9_language.identify(df, model)
+    assert out.columns == ["doc_id", "text", "__n", "___post", "language", "confidence", "rejected", "n_trigrams"]
+    found = out.collect()
+    assert {r.doc_id: r.rejected for r in found} == {k: k > 2 for k in range(len(rows))}
+    assert all(r["__n"] == 5 and r["___post"] == "kept" for r in found)
+    assert op9_language.identify(df.where("false"), model).count() == 0
+
+
+def test_steps_change_nothing(monkeypatch):
+    text = "Grüße aus München, 漢字 and more. " * 3000
+    model = op9_language.TextModel(["a", "b"], np.random.default_rng(1).integers(0, 9, (2, op9_language.SLOTS)).astype(float))
+    for step in (1, 7, 1024, len(text.encode()), len(text.encode()) + 1):
+        short = text if step > 100 else text[:200]
+        monkeypatch.setattr(op9_language, "STEP", 1 << 30)
+        whole, judged = op9_language._counts(short), model.judge(short)
+        monkeypatch.setattr(op9_language, "STEP", step)
+        assert np.array_equal(op9_language._counts(short), whole)
+        assert model.judge(short)[0] == judged[0] and np.allclose(model.judge(short)[1], judged[1], rtol=0, atol=1e-9)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(op9_language, "LANGUAGES", 2)
+    rows = spark.createDataFrame([("some text", x) for x in "abc"], "text string, lang string")
+    with pytest.raises(ValueError, match="2 at most"):
+        op9_language.fit(rows)
+    assert op9_language.fit(rows, languages=["a", "c"]).languages == ["a", "c"]
+
+
+def fused_by_hand(rows, model, smooth=20.0):
+    """Posterior of each row (id, text, declared, suffix, host, domain) from all evidence, by plain loops."""
+    n_lang, judged = len(model.languages), []
+    for r in rows:
+        n, mean = model.judge(r[1])
+        logs = mean * min(n, op9_language.EFFECTIVE)
+        post = np.exp(logs - logs.max())
+        judged.append((n, logs, post / post.sum()))
+    used = [(r, j) for r, j in zip(rows, judged) if j[0] > 0]
+    base = 1.0 + sum((j[2] for _, j in used), np.zeros(n_lang))
+    prior = base / base.sum()
+    count = lambda at, v: sum((j[2] for r, j in used if r[at] == v), np.zeros(n_lang))
+    out = {}
+    for r, (n, logs, _) in zip(rows, judged):
+        total = logs.copy()
+        for at in (2, 3):
+            c = count(at, r[at])
+            if r[at] is not None and c.sum() > 0:
+                total += np.log((c + (c.sum() + 0.5) / (base.sum() + 1.0)) / (base + 1.0))
+        towards = prior
+        if r[5] is not None and count(5, r[5]).sum() > 0:
+            towards = (count(5, r[5]) + smooth * prior) / (count(5, r[5]).sum() + smooth)
+        c = count(4, r[4]) if r[4] is not None else np.zeros(n_lang)
+        total += np.log((c + smooth * towards) / (c.sum() + smooth))
+        post = np.exp(total - total.max())
+        post /= post.sum()
+        out[r[0]] = (model.languages[int(post.argmax())] if n else None, float(post.max()))
+    return out
+
+
+def test_fused_evidence_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = {"en": ["the cat and the dog", "of all the things", "in"], "de": ["der hund und die katze", "von allen dingen", "in"], "fr": ["le chat et le chien", "de toutes les choses", "en"]}
+    train = spark.createDataFrame([(" ".join(rng.choice(v) for _ in range(9)), k) for k, v in texts.items() for _ in range(20)], "text string, lang string")
+    model = op9_language.fit(train)
+    rows = []
+    for i in range(160):
+        lang = rng.choice("en de fr".split())
+        host = rng.choice([None, f"{rng.randrange(3)}.{lang}.org", "mixed.com"])
+        rows.append((i, rng.choice([*texts[lang], " ".join(texts[lang]), "", None, "12 34"]), rng.choice([None, lang, "en"]), rng.choice([None, lang, "org"]), host, host and host[-7:]))
+    df = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string, domain string").repartition(3)
+    found = op9_language.identify(df, model, declared="declared", suffix="suffix", host="host", domain="domain").collect()
+    want = fused_by_hand(rows, model)
+    assert {r.id: r.language for r in found} == {k: v[0] for k, v in want.items()}
+    assert all(abs(r.confidence - want[r.id][1]) < 1e-9 for r in found)
+
+
+def test_registered_language_query_equals_brute_force(spark, sf):
+    import html
+
+    pages = common.table(spark, sf, "pages").collect()
+    model = op9_language.fit(common.table(spark, sf, "documents"))
+    rows = []
+    for r in pages:
+        text = html.unescape(re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", r.html)).replace("\xa0", " ") if r.html is not None else None
+        found = re.search(r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", r.html or "")
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)(?:[^/?#]*/([A-Za-z]{2})(?:[/?#-]|$))?", r.url or "")
+        host = m[1].lower() if m else None
+        part = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#-]|$)", r.url or "")
+        last = re.search(r"\.([a-z]+)$", host or "")
+        suffix = part[1].lower() if part else last[1] if last else None
+        domain = re.search(r"([^.]+\.[^.]+)$", host or "")
+        rows.append((r.page_id, text, found[1].lower() if found else None, suffix, host, domain[1] if domain else None))
+    want = fused_by_hand(rows, model)
+    got = queries.QUERIES["op9_language_id"](spark, sf).collect()
+    assert len(got) == len(rows) > 0
+    by = {r[0]: r for r in rows}
+    for g in got:
+        assert (g.declared, g.suffix, g.host) == by[g.page_id][2:5]
+        assert g.language == want[g.page_id][0] and abs(g.confidence - want[g.page_id][1]) < 1e-9
 
 
 def test_evidence_decides_short_texts(spark):
@@ -304,7 +399,8 @@ def test_addresses(spark, url, host, domain, suffix):
 def test_markup(spark):
     html = "<!DOCTYPE html><HTML class=a lang='DE-at'><script>var x='<p>no</p>';</script><!-- no --><p>ja&amp;nein</p></HTML>"
     r = spark.createDataFrame([(html,)], "h string").select(op9_language.declared_of(F.col("h")), op9_language.text_of(F.col("h"))).first()
-    assert r[0] == "de" and r[1].split() == ["ja", "nein"]
+    assert r[0] == "de" and op9_language.references(r[1]).split() == ["ja&nein"]
+    assert op9_language.references("gr&uuml;&szlig;e&nbsp;&#228;") == "grüße ä" and op9_language.references("a & b") == "a & b"
 
 
 def test_late_markup(spark):
