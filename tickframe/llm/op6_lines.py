@@ -1,13 +1,15 @@
 """Line deduplication: lines whose normalised form is frequent across documents stay in one document only.
 
 A line's key is the line without white space at its ends, A-Z in lower case. Each document's distinct long keys are
-exploded as 128-bit hashes; grouped aggregation (combined before the shuffle, so a line of every document costs one row
-a task) counts documents and finds the largest doc_id; hashes over the threshold are joined back, collected per document
-and the document is put together again from the lines left, in order. The join on the hash is between two plain shuffles,
-so adaptive execution can split a hot hash; what is collected per document is bounded by its own lines.
+exploded as 128-bit hashes and made distinct by (key, doc_id); grouped aggregation (combined before the shuffle, so a line
+of every document costs one row a task) counts documents and finds the largest doc_id. Hashes over the threshold are
+written to the shared folder before they are joined back: their size is then known, so they are broadcast where they are
+few, and where they are many the join reads two plain shuffles, which adaptive execution splits at a hot hash. The keys to
+drop are written by document likewise, and the document is put together again from the lines left, in order.
 
 Nulls: a null text counts as one empty line; a null doc_id counts as no document: its lines are neither counted nor
-dropped. Rows that share a doc_id count as one document and all keep or lose a line alike. Other columns are ignored.
+dropped, and such rows are not shuffled. Rows that share a doc_id count as one document and all keep or lose a line alike.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +47,11 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ext
             yield pa.record_batch({"doc_id": b.column("doc_id"), "keys": pa.array(found, pa.list_(pa.binary()))})
 
     held = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(workers.by_task(keys), "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key"))
-    # count(distinct) would shuffle every row; rows repeat a doc_id rarely, so a cheap upper bound comes first
-    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.max("doc_id").alias("last")).where(F.col("n_rows") >= min_docs).drop("n_rows")
-    in_often = held.join(often, "key")
-    frequent = in_often.groupBy("key", "doc_id").agg(F.first("last").alias("last")).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.first("last").alias("last")).where(F.col("n_docs") >= min_docs).select("key", "last")
-    drop = held.join(frequent, "key").where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    once = held.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    often = once.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")).where(F.col("n_docs") >= min_docs)
+    frequent = common.materialize(often.select("key", "last")).df
+    lost = held.join(frequent, "key").where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    drop = common.materialize(lost).df
 
     def cut(batches):
         for b in batches:
@@ -68,7 +70,9 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ext
             yield pa.record_batch({"doc_id": b.column("doc_id"), **{c: b.column(c) for c in extra}, "text": pa.array(texts, pa.string()), "n_lines": pa.array(sizes, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    return docs.join(drop, "doc_id", "left").select("doc_id", *extra, "text", "drop").mapInArrow(workers.by_task(cut), f"doc_id long, {kept}text string, n_lines long, n_dropped long")
+    named = docs.where("doc_id IS NOT NULL").join(drop, "doc_id", "left").select("doc_id", *extra, "text", "drop")
+    nameless = docs.where("doc_id IS NULL").select("doc_id", *extra, "text", F.lit(None).cast("array<binary>").alias("drop"))
+    return named.unionByName(nameless).mapInArrow(workers.by_task(cut), f"doc_id long, {kept}text string, n_lines long, n_dropped long")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
