@@ -185,18 +185,42 @@ def test_jaccard_of_a_torn_group(spark, monkeypatch):
         assert got == want
 
 
-def test_tiles_span_blocks(spark):
+def test_tiles_span_blocks(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, " ".join(f"v{rng.randrange(12)}" for _ in range(9))) for i in range(90)] + [(100 + i, "a b c d e f g h i " + "j " * (i % 3)) for i in range(12)]
     rule = op3_jaccard.Rule(1, 3, 4)
-    members = spark.createDataFrame([(i, 0) for i, _ in rows], "doc long, group long")
+    monkeypatch.setattr(op3_jaccard, "TILE", 16)
+    members = spark.createDataFrame([(k, 0, i, 9) for i, _ in rows for k in (0, 1)], "kind int, group long, doc long, n long")
     df = spark.createDataFrame(rows, "doc_id long, text string")
     from tickframe.llm.components import components as spark_components
 
-    got = {r.node: r.component for r in spark_components(op3_jaccard._compare(members, df, rule, block=16)).collect()}
+    got = {r.node: r.component for r in spark_components(op3_jaccard._compare(members, df, rule)).collect()}
     assert [(i, got.get(i, i)) for i, _ in sorted(rows)] == [(i, c) for i, _, c in components(rows, 1, 3, 4)]
 
 
+def test_chains_of_passages_are_compared_by_signature(spark, monkeypatch):
+    """Documents share a passage with the next ones only: compared all together or each signature by itself, links agree."""
+    monkeypatch.setattr(op3_jaccard, "PAIRED", 2)
+    monkeypatch.setattr(op3_jaccard, "TILE", 8)
+    rng = random.Random(11)
+    part = [" ".join(f"p{k}x{rng.randrange(10_000)}" for _ in range(25)) for k in range(40)]
+    rows = [(i, f"{part[i // 4]} {part[i // 4 + 1]} " + " ".join(f"own{i}y{k}" for k in range(i % 4 * 5))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op3_jaccard.jaccard_components(df, 4, 85, 100).collect())
+    want = components(rows, 4, 85, 100)
+    assert got == want and 30 <= len({r[2] for r in want}) < 120
+
+
+def test_unrelated_sets_share_no_signature():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for num, den in ((80, 100), (85, 100)):
+        rule = op3_jaccard.Rule(5, num, den)
+        found = np.concatenate([np.unique(rule.signatures(np.sort(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64)))) for n in rng.integers(6, 111, 20_000)])
+        assert np.unique(found, return_counts=True)[1].max() <= 10  # 0.05 % of the sets
+
+
 def test_jaccard_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (1, "A B C D E"), (1, "A B C D E"), (2, None), (4, " ")], "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("key", F.lit(1))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op3_jaccard.jaccard_components(df, 4, 85, 100).collect()), key=str)
@@ -213,10 +237,10 @@ def test_part_enum_never_misses():
         rule = op3_jaccard.Rule(4, num, den)
         for size in [*range(1, 40), 90, 300, 2000]:
             for _ in range(8):
-                s = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+                s = np.unique(rng.integers(0, (1 << 64) - 1, size, dtype=np.uint64))
                 # the smallest intersection still linked when elements are replaced
                 change = int(len(s) * (den - num) / (den + num))
-                t = np.unique(np.concatenate([s[rng.permutation(len(s))[change:]], rng.integers(0, 1 << 63, change, dtype=np.uint64)]))
+                t = np.unique(np.concatenate([s[rng.permutation(len(s))[change:]], rng.integers(0, (1 << 64) - 1, change, dtype=np.uint64)]))
                 if rule.linked(s, t):
                     assert np.intersect1d(rule.signatures(s), rule.signatures(t)).size
 

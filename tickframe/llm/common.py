@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Input bytes (as stored) that one batch or bucket of the grouped operators should hold.
 TARGET_BYTES = 4 << 20
 #: Stored bytes of input for one partition of a table that is written between steps.
-PART_BYTES = 16 << 20
+PART_BYTES = 1 << 20
 #: Seconds between two hints to collect garbage.
 HINT_S = 2.0
 

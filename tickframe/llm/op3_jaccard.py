@@ -4,8 +4,10 @@ Sets of word shingles are put in size bands so narrow that two sets of the wante
 neighbouring bands. For each such pair of bands the largest possible difference k of two similar sets is known. The domain
 of shingle hashes is cut into n1 parts of n2 atoms each, such that in at least one part at most k2 elements differ; then
 the two sets agree on some n2 - k2 of its atoms. Enumerating these subsets of atoms, hashed with their content, gives
-signatures of which two similar sets share one for certain. Empty projections tell nothing and are left out, except for
-sets with so many of them that all agreeing ones might be empty; that rule is the same for both sets of a pair.
+signatures of which two similar sets share one for certain. Empty projections tell nothing and are always left out. If a
+set has so few of them that some part sure to agree has none, it loses nothing by that, and neither do its partners. Sets
+with more of them send prefix signatures too: with shingles in order of hash, two similar sets share one among the first
+few of each. So no signature is shared without common content.
 
 Sets of one slice of documents send their signatures to buckets by hash, 5 bytes each; equal sets of a slice send them
 once. A signature that several sets of a slice have is sent once too, and the members go on by themselves, so a bucket
@@ -13,9 +15,11 @@ holds at most one entry a slice of any signature. Signatures found twice become
 
 Rows are not paired with each other. Each is paired with the least document of its signature only, and these pairs are
 verified exactly on whole texts and merged to components. Only signatures some of whose members are then still apart go
-on, so no link between different texts is lost: if they have few members, those of different components are paired; the
-members of larger ones are grouped by the signatures they share and compared in tiles of bounded size, each of which
-returns a forest of the links it finds and no pairs.
+on, so no link between different texts is lost: if they have few members, those of different components are paired;
+the members of larger ones are compared in tiles of bounded size, each of which returns a forest of the links it finds and
+no pairs. Tiles are cut from each signature by itself, or from all members of signatures that hang together, whichever
+makes fewer comparisons: the latter where the same documents share many signatures, the former where chains of shared
+passages run through the corpus. Both ways compare every two members of a signature.
 
 Nulls: a null or blank text has an empty set and links with nothing; rows with a null doc_id link with nothing and have no
 component. Rows that share a doc_id are one document for linking. Other columns are ignored.
@@ -35,8 +39,11 @@ from . import common, units, words, workers
 from .components import components
 
 _LOW40 = np.uint64((1 << 40) - 1)
-#: Members up to which a signature's documents are paired; those of larger ones are compared in tiles.
+#: Members up to which a signature's documents are paired; those of larger ones are compared in tiles. The links found agree.
 PAIRED = 16
+#: Documents and shingles of one side of a tile, about.
+TILE = 1024
+TILE_SHINGLES = 1 << 20
 
 
 class Rule:
@@ -82,7 +89,7 @@ class Rule:
         """Signatures of a set of sorted distinct shingle hashes."""
         own = self.band(len(s))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(s))])
-        out = []
+        out, short = [], False
         for j in (own - 1, own):
             if j < 0:
                 continue
@@ -97,11 +104,13 @@ class Rule:
                 for a in np.flatnonzero(subset):
                     value[:, c] += sums[:, a]
                     count[:, c] += size[:, a]
-            value = words.mix(value ^ salts)
             empty = count == 0
-            if int(np.count_nonzero(empty.any(axis=1))) < sure:
-                value = value[~empty]
-            out.append(value.ravel())
+            short = short or int(np.count_nonzero(empty.any(axis=1))) >= sure
+            out.append(words.mix(value ^ salts)[~empty])
+        if short:
+            least = -(-len(s) * self.num // self.den)  # shingles that a similar set shares at least
+            first = words.mix(s[: len(s) - least + 1])
+            out += [words.mix(first ^ np.uint64((2 * j + 1) << 40)) for j in (own - 1, own) if j >= 0]
         return np.concatenate(out)
 
     def shingles(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -266,10 +275,11 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], step: int = 1024) -> np.nd
 def _tile(rule: Rule):
     def run(key, rows):
         docs, texts = rows["doc"].to_pylist(), rows["text"].to_pylist()
-        side = (rows["block"].to_numpy() == key[1].as_py()).tolist()
+        low, high = key[2].as_py(), key[3].as_py()
+        side = (rows["block"].to_numpy() == low).tolist()
         sets = rule.shingles([(t or "").encode("utf-8", "surrogatepass") for t in texts])
         a = [i for i, x in enumerate(side) if x]
-        b = a if key[1].as_py() == key[2].as_py() else [i for i, x in enumerate(side) if not x]
+        b = a if low == high else [i for i, x in enumerate(side) if not x]
         if not a or not b:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         same = _common([sets[i] for i in a], [sets[i] for i in b])
@@ -292,13 +302,15 @@ def _tile(rule: Rule):
     return run
 
 
-def _compare(members: DataFrame, docs: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
-    """Links (u, v) that connect what is linked within each group of members (doc, group)."""
-    size = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / float(block)).alias("blocks"))
-    dealt = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc")
-    rows = dealt.join(docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc"), "doc").select("group", "low", "high", "block", "doc", "text")
-    return rows.groupBy("group", "low", "high").applyInArrow(workers.by_group(_tile(rule)), "u long, v long").where("u <> v").distinct()
+def _compare(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links (u, v) that connect what is linked within each group of members (kind, group, doc, n shingles)."""
+    group = ["kind", "group"]
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / float(TILE), F.sum("n") / float(TILE_SHINGLES))).cast("long")
+    size = members.groupBy(*group).agg(blocks.alias("blocks"))
+    dealt = members.join(size, group).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc")
+    rows = dealt.join(docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc"), "doc").select(*group, "low", "high", "block", "doc", "text")
+    return rows.groupBy(*group, "low", "high").applyInArrow(workers.by_group(_tile(rule)), "u long, v long").where("u <> v").distinct()
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -349,14 +361,25 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
         rest = few.withColumnRenamed("doc", "x").join(other, "key").where("x < y AND c <> d").where(fit).select("x", "y").distinct()
         rest = common.materialize(common.few(reps(rest).join(pairs, ["a", "b"], "left_anti"), found)).df
         more = _verify(rest, docs, rule)
-        many = members.where(F.col("size") > PAIRED).select("key", "doc")
+        many = members.where(F.col("size") > PAIRED).select("key", "doc", "n")
         if not many.isEmpty():
-            # few distinct pairs are left of many memberships before documents become their equal sets' least ones
-            hung = many.join(many.groupBy("key").agg(F.min("doc").alias("v")), "key").select("doc", "v").distinct()
-            hung = hung.join(rep.withColumnsRenamed({"doc_id": "doc", "rep": "u"}), "doc").join(rep.withColumnsRenamed({"doc_id": "v", "rep": "w"}), "v").select("u", F.col("w").alias("v")).distinct()
-            hung = common.materialize(common.few(hung, members)).df
-            groups = common.materialize(common.few(components(hung), hung)).df
-            more = more.unionByName(_compare(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), docs, rule))
+            # each document stands for its equal set; few distinct pairs are left of many memberships
+            own = many.join(rep.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc"), "n").distinct()
+            own = common.materialize(common.few(own, members)).df
+            hung = own.join(own.groupBy("key").agg(F.min("doc").alias("v")), "key").select(F.col("doc").alias("u"), "v").distinct()
+            hung = common.materialize(common.few(hung, own)).df
+            whole = components(hung)
+            whole = common.materialize(common.few(whole, hung)).df
+            # comparisons of each way: the square of the members of all signatures that hang together, or of each one's
+            one = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("node")).join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            each = one.groupBy("component").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("each"))
+            together = whole.groupBy("component").agg(F.count(F.lit(1)).cast("double").alias("all"))
+            apart_ = each.join(together, "component").where(F.col("each") < F.col("all") * F.col("all")).select("component")
+            split = common.materialize(common.few(apart_, hung)).df
+            sizes = own.groupBy("doc").agg(F.min("n").alias("n")).withColumnRenamed("doc", "node")
+            by_part = whole.join(split, "component", "left_anti").join(sizes, "node").select(F.lit(0).alias("kind"), F.col("component").alias("group"), F.col("node").alias("doc"), "n")
+            by_key = own.join(one.join(split, "component", "left_semi").select("key"), "key", "left_semi").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "doc", "n")
+            more = more.unionByName(_compare(common.materialize(by_part.unionByName(by_key)).df, docs, rule))
         more = common.materialize(common.few(more, members, narrow=False)).df
         if not more.isEmpty():
             part = common.materialize(common.few(components(links.unionByName(joined).unionByName(more)), rep)).df
