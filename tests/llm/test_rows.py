@@ -71,7 +71,9 @@ def links(rows, threshold=0.98):
 def test_vectors(spark, k, tile):
     rows = vectors()
     df = spark.createDataFrame(rows, VECTORS).repartition(4).withColumn("node", F.lit(1)).withColumn("n", F.lit(1))
-    got = sorted(tuple(r) for r in op5_descent.near_dedup(df, k=k, tile=tile, run_length=64).collect())
+    got = sorted(tuple(r) for r in op5_descent.near_dedup(df, k=k, tile=tile, run_length=16, longest=k).collect())
+    assert got == links(rows)
+    got = sorted(tuple(r) for r in op5_descent.near_dedup(df, k=k, tile=tile).collect())
     assert got == links(rows)
 
 
@@ -93,7 +95,26 @@ def test_short_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(op5_descent, "_audit", lambda *a: 0.5)
     df = spark.createDataFrame([(i, [1.0, 0.1 * i], 1) for i in range(4)], VECTORS)
     with pytest.raises(RuntimeError, match="0.5000"):
-        op5_descent.near_dedup(df, miss=1e-300, threshold=0.9, run_length=2).count()
+        op5_descent.near_dedup(df, trees=300, rounds=1, threshold=0.9, run_length=2).count()
+
+
+def test_descent_lifts_recall(spark):
+    """Two trees alone miss many links of one large label; descent finds them."""
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.standard_normal((1000, 32)), 8, axis=0) + 0.1 * rng.standard_normal((8000, 32))).astype(np.float32)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("label", F.col("label").cast("long"))
+    nodes = common.materialize(df.mapInArrow(op5_descent._unit, "vec_id long, label long, dim int, vec binary").select(F.col("vec_id").alias("node"), "label", "dim", "vec", F.lit(1).cast("long").alias("weight")).mapInArrow(op5_descent._single, "node long, label long, dim int, vec binary, weight long, small binary")).df
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, 0)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(sim >= 0.98)) if a < b}
+    share = lambda g: len(want & {(min(r.u, r.v), max(r.u, r.v)) for r in g.df.where("sim >= 0.9799").collect()}) / len(want)
+    graph = common.materialize(op5_descent._best(op5_descent._start(nodes, 10, 16, 2, 10, 5), 10).withColumn("open", F.lit(1)))
+    before = share(graph)
+    after = share(op5_descent._descend(nodes, graph, 10, 12, 0.98))
+    assert before < 0.9 < 0.98 <= after, (before, after)
 
 
 def test_odd_vectors(spark):

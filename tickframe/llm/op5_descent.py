@@ -1,17 +1,19 @@
 """Embedding near-duplicates by NN-descent.
 
-1. Equal vectors of a label become one node. Nodes are sorted by (label, side of random hyperplanes, projection) for
-   several random trees; each vector's best neighbours in overlapping runs of that order start the neighbour graph. The
-   order is dealt by range, so a hot label or a tight cluster is spread over tasks. The number of trees follows from the
-   label sizes: so many that a pair at the threshold shares a run in one of them with the wanted probability.
-2. NN-descent: the neighbours of each node are compared with each other, and pairs better than what their ends have are
-   kept, until a round adds no pair over the threshold.
-3. Pairs over the threshold are links. A pair that was compared is missing from both ends' lists only if both are
-   saturated (even the last neighbour is a link), so all saturated nodes of a label are compared with those of its other
-   components, in blocks that return which components are linked. Where a node's list is saturated, lists are then enlarged
-   to the whole component: its members are compared in tiles of bounded size, which return counts, not pairs.
-4. A bounded sample of nodes is compared with all vectors; if the links found fall short of the wanted recall, more trees
-   are grown and all is repeated. If they still do with over 512 trees, the operator fails.
+1. Equal vectors of a label become one node. Nodes are sorted by (label, side of random hyperplanes, projection) for a few
+   random trees; each vector's best neighbours in short overlapping runs of that order start the neighbour graph. The
+   order is dealt by range, so a hot label or a tight cluster is spread over tasks.
+2. NN-descent: at each node, its neighbours and the nodes it is a neighbour of (the best of them, three lists' length
+   together) are compared with each other; pairs better than what their ends have enter their lists. Only pairs with a new
+   end are compared, only nodes with a new neighbour take part, and rounds end when hardly any list changes.
+3. Only a pair both whose ends' lists are saturated (even the last neighbour is a link) can have been compared and left
+   out. So saturated nodes get lists four times as long, trees of their own start these lists anew, and descent goes on for
+   them, until none is saturated or lists hold `longest` neighbours.
+4. Pairs over the threshold, measured again in double precision, are links. What is saturated even then is finished
+   exactly: such nodes of a label are compared with those of its other components, in blocks that return which components
+   are linked, and the members of their components are compared in tiles of bounded size, which return counts, not pairs.
+5. A bounded sample of nodes is compared with all vectors; if the links found fall short of the wanted recall, new trees
+   add to the graph and descent goes on. If that doesn't help with over 512 trees, the operator fails.
 
 Nulls: vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing and
 are their own component; a null vec_id gets a null component and is kept. Repeated rows are links of each other. Where
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, workers
@@ -38,8 +40,19 @@ BLOCK = 1 << 16
 SPREAD = 8
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+#: Similarities of descent are single precision; this far under the threshold, they are measured again.
+SLACK = 1e-4
+
+
+def _matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+
+
+def _single(batches):
+    """node, label, dim, vec, weight with the vector in single precision too (small)."""
+    for b in batches:
+        small = [np.frombuffer(v, np.float64).astype(np.float32).tobytes() for v in b.column("vec").to_pylist()]
+        yield pa.record_batch({c: b.column(c) for c in b.schema.names} | {"small": pa.array(small, pa.binary())})
 
 
 def _unit(batches):
@@ -69,12 +82,12 @@ def _plant(trees: int, bits: int, seed: int):
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                x = _matrix(part.column("vec"), dim)
+                x = _matrix(part.column("vec"), dim, np.float32)
                 for t in range(trees):
-                    planes = np.random.Generator(np.random.PCG64([seed, t, int(dim)])).standard_normal((dim, bits + 1))
+                    planes = np.random.Generator(np.random.PCG64([seed, t, int(dim)])).standard_normal((dim, bits + 1)).astype(np.float32)
                     y = x @ planes
                     code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                    yield pa.record_batch({"tree": pa.array(np.full(len(x), t, np.int32)), "label": part.column("label"), "dim": part.column("dim"), "code": pa.array(code), "at": pa.array(y[:, bits]), "node": part.column("node"), "vec": part.column("vec")})
+                    yield pa.record_batch({"tree": pa.array(np.full(len(x), t, np.int32)), "label": part.column("label"), "dim": part.column("dim"), "code": pa.array(code), "at": pa.array(y[:, bits].astype(np.float64)), "node": part.column("node"), "vec": part.column("vec")})
 
     return run
 
@@ -105,7 +118,7 @@ def _runs(k: int, length: int):
         key, ids, vecs, seen = None, [], [], 0
 
         def flush():
-            return best(np.array(ids, np.int64), _matrix(pa.array(vecs, pa.binary()), key[2])) if len(ids) > seen else None
+            return best(np.array(ids, np.int64), _matrix(pa.array(vecs, pa.binary()), key[2], np.float32)) if len(ids) > seen else None
 
         for b in batches:
             for t, label, dim, node, vec in zip(*(b.column(c).to_pylist() for c in ("tree", "label", "dim", "node", "vec"))):
@@ -126,17 +139,17 @@ def _runs(k: int, length: int):
 
 
 def _local_join(batches):
-    """Pairs among each node's neighbours that are better than the worst neighbour of one end."""
+    """Pairs among a node's neighbours, one of them new at least, that are better than the worst neighbour of the first."""
     for b in batches:
         dims = b.column("dim").to_pylist()
         u, v, s = [], [], []
         for dim, members in zip(dims, b.column("members").to_pylist()):
             ids = np.array([m["v"] for m in members], np.int64)
-            worst = np.array([m["worst"] for m in members])
-            x = np.frombuffer(b"".join(m["vec"] for m in members), np.float64).reshape(-1, dim)
-            sim = x @ x.T
-            np.fill_diagonal(sim, -2.0)
-            i, j = np.nonzero(sim > worst[:, None])
+            worst, new = np.array([m["worst"] for m in members]), np.array([m["new"] for m in members], bool)
+            x = np.frombuffer(b"".join(m["small"] for m in members), np.float32).reshape(-1, dim)
+            sim = (x @ x.T).astype(np.float64)
+            np.fill_diagonal(sim, -3.0)
+            i, j = np.nonzero((sim > worst[:, None]) & (new[:, None] | new[None, :]))
             u.append(ids[i])
             v.append(ids[j])
             s.append(sim[i, j])
@@ -144,6 +157,21 @@ def _local_join(batches):
             yield _edges(np.concatenate(u), np.concatenate(v), np.concatenate(s))
 
 
+def _exact(threshold: float):
+    """The pairs (u, v) whose vectors, in double precision, reach the threshold."""
+
+    def run(batches):
+        for b in batches:
+            dims, keep = b.column("dim").to_numpy(), np.zeros(b.num_rows, bool)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                part = b.take(pa.array(at))
+                keep[at] = np.einsum("ij,ij->i", _matrix(part.column("x"), dim), _matrix(part.column("y"), dim)) >= threshold
+            yield pa.record_batch({"u": b.column("u"), "v": b.column("v")}).filter(pa.array(keep))
+
+    return run
+
+
 def _tile(threshold: float):
     def run(key, rows):
         low, dim = key[1].as_py(), rows["dim"][0].as_py()
@@ -195,36 +223,99 @@ def _bridges(threshold: float, step: int = 1024):
     return run
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """u, near (array of (sim, v), best first, k at most)."""
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The k best (u, v, sim, new, rank) of each u; ranked before the shuffle too, so no node's candidates are gathered."""
     # the same pair measured in other places may differ in its last digits
-    edges = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return edges.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "v")), asc=False), 1, k).alias("near"))
+    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))).where(F.col("rank") <= k)
 
 
-def near_dedup(embeddings: DataFrame, threshold: float = 0.98, k: int = 10, run_length: int = 512, recall: float = 0.99, miss: float = 1e-4, rounds: int = 8, tile: int = 1024, seed: int = 5) -> DataFrame:
+def _planes(nodes: DataFrame, run_length: int) -> int:
+    """Hyperplanes of a tree whose cells, of the largest label, hold about half a run."""
+    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    return max(0, math.ceil(math.log2(max(1, largest) / run_length)) + 1)
+
+
+def _start(nodes: DataFrame, k: int, run_length: int, trees: int, bits: int, seed: int) -> DataFrame:
+    """Edges (u, v, sim, new) of a few random trees."""
+    planted = nodes.select("node", "label", "dim", F.col("small").alias("vec")).mapInArrow(workers.by_task(_plant(trees, bits, seed)), "tree int, label long, dim int, code long, at double, node long, vec binary")
+    parts = max(common.shuffle_partitions(nodes.sparkSession), trees * -(-common.stored_bytes(nodes) // common.TARGET_BYTES))
+    order = ["tree", "label", "dim", "code", "at", "node"]
+    found = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(workers.by_task(_runs(k, run_length)), "u long, v long, sim double")
+    return found.withColumn("new", F.lit(1))
+
+
+def _descend(nodes: DataFrame, graph, k: int, rounds: int, threshold: float, settled: float = 0.05):
+    """NN-descent on a written graph (u, v, sim, new, rank); nodes whose lists hold less than k by the plan are open."""
+    for _ in range(rounds):
+        g = graph.df
+        full = g.groupBy("u").agg(F.count(F.lit(1)).alias("size"), F.min("sim").alias("last"), F.max("open").alias("open"))
+        worst = F.when(F.col("open") == 0, F.lit(2.0)).when(F.col("size") >= k, F.col("last")).otherwise(F.lit(-2.0))
+        known = nodes.select(F.col("node").alias("v"), "dim", "small").join(full.select(F.col("u").alias("v"), worst.alias("worst")), "v", "left")
+        known = known.withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+        both = g.select(F.col("u").alias("x"), "v", "sim", "new").unionByName(g.select(F.col("v").alias("x"), F.col("u").alias("v"), "sim", "new")).groupBy("x", "v").agg(F.max("sim").alias("sim"), F.max("new").alias("new"))
+        by = Window.partitionBy("x")
+        ranked = both.withColumn("rank", F.row_number().over(by.orderBy(F.col("sim").desc(), "v"))).where(F.col("rank") <= 3 * k)
+        busy = ranked.withColumn("busy", F.max("new").over(by)).where("busy = 1").select("x", "v", "new")
+        members = busy.join(known, "v").groupBy("x").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("v", "new", "worst", "small")).alias("members")).select("dim", "members")
+        better = members.mapInArrow(workers.by_task(_local_join), "u long, v long, sim double").withColumn("new", F.lit(1))
+        back = g.where("new = 1").select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", F.lit(0).alias("new"))
+        old = g.select("u", "v", "sim", F.lit(0).alias("new"))
+        shut = full.where("open = 0").select("u", F.lit(0).alias("shut"))
+        then = _best(old.unionByName(back).unionByName(better), k).join(shut, "u", "left").withColumn("open", F.coalesce("shut", F.lit(1))).drop("shut")
+        then = common.materialize(common.few(then, nodes))
+        graph.drop()
+        graph = then
+        count = graph.df.agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("new"), F.sum(F.when(F.col("sim") >= threshold - SLACK, F.col("new"))).alias("links")).first()
+        if (count.new or 0) <= settled * (count.n or 0) and not count.links:
+            break
+    return graph
+
+
+def _saturated(graph, k: int, threshold: float) -> DataFrame:
+    return graph.df.groupBy("u").agg(F.count(F.lit(1)).alias("size"), F.min("sim").alias("last")).where((F.col("size") >= k) & (F.col("last") >= threshold - SLACK)).select("u")
+
+
+def near_dedup(embeddings: DataFrame, threshold: float = 0.98, k: int = 10, run_length: int = 64, recall: float = 0.99, trees: int = 3, rounds: int = 8, longest: int = 160, tile: int = 1024, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row for each input row.
 
-    k: neighbours a node keeps; miss: wanted probability that no tree brings a pair at the threshold together.
+    k, longest: neighbours a node's list holds at first and at most; trees: random trees that start the graph; rounds: of
+    descent at each length of lists, at most.
     """
-    spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
     rows = common.materialize(rows.mapInArrow(_unit, "vec_id long, label long, dim int, vec binary")).df
     classes = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
     single = classes.groupBy("node").agg(F.min(F.struct("vec", "label", "dim", "weight")).alias("x"))
-    nodes = common.materialize(common.few(single.select("node", "x.label", "x.dim", "x.vec", "x.weight"), rows)).df
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, largest) / run_length)) + 1)
-    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    trees = max(2, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - 0.9 * together))))
+    single = single.select("node", "x.label", "x.dim", "x.vec", "x.weight").mapInArrow(_single, "node long, label long, dim int, vec binary, weight long, small binary")
+    nodes = common.materialize(common.few(single, rows)).df
+    bits = _planes(nodes, run_length)
+    graph, planted, grow = None, 0, trees
     while True:
-        found = _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed)
+        begun = _start(nodes, k, run_length, grow, bits, seed + planted)
+        if graph is not None:
+            begun = begun.unionByName(graph.df.select("u", "v", "sim", F.lit(0).alias("new")))
+        # lists that grew longer before are found again from their saturation
+        then = common.materialize(common.few(_best(begun, k).withColumn("open", F.lit(1)), nodes))
+        if graph is not None:
+            graph.drop()
+        graph, length = _descend(nodes, then, k, rounds, threshold), k
+        while length * 4 <= longest and not (full := common.materialize(_saturated(graph, length, threshold))).df.isEmpty():
+            length *= 4
+            dense = common.materialize(common.few(nodes.join(full.df, nodes["node"] == full.df["u"], "left_semi"), nodes)).df
+            again = _start(dense, length, 2 * length, trees, _planes(dense, 2 * length), seed + planted + length)
+            kept = graph.df.select("u", "v", "sim", F.lit(1).alias("new"))
+            opened = _best(kept.unionByName(again), length).join(full.df.withColumn("open", F.lit(1)), "u", "left").withColumn("open", F.coalesce("open", F.lit(0))).withColumn("new", F.col("open"))
+            then = common.materialize(common.few(opened, nodes))
+            graph.drop()
+            graph = _descend(nodes, then, length, rounds, threshold)
+        planted += grow
+        found = _links(nodes, graph, threshold, length, tile)
         reached = _audit(nodes, found, threshold)
         if reached >= recall:
             break
-        if trees > 512:
-            raise RuntimeError(f"{trees} trees find {reached:.4f} of the links of a sample, {recall} are wanted")
-        trees, seed = trees * 2, seed + 1
+        if planted > 512:
+            raise RuntimeError(f"{planted} trees find {reached:.4f} of the links of a sample, {recall} are wanted")
+        grow = planted
     own = classes.join(nodes.select("node", F.col("vec").alias("node_vec"), F.col("label").alias("node_label")), "node", "left").select("label", "dim", "vec", F.col("node"), "weight", ((F.col("vec") == F.col("node_vec")) & (F.col("label") == F.col("node_label"))).alias("takes_part"))
     known = own.join(found, "node", "left").select("label", "dim", "vec", (F.col("weight") - 1 + F.when(F.col("takes_part"), F.coalesce("n", F.lit(0))).otherwise(0)).alias("n"), F.when(F.col("takes_part"), F.coalesce("component", "node")).otherwise(F.col("node")).alias("component"))
     out = rows.join(known, ["label", "dim", "vec"], "left")
@@ -233,34 +324,14 @@ def near_dedup(embeddings: DataFrame, threshold: float = 0.98, k: int = 10, run_
     return out.select("vec_id", F.when(alone, F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(nodes, threshold, k, run_length, trees, bits, rounds, tile, seed) -> DataFrame:
+def _links(nodes, graph, threshold, length, tile) -> DataFrame:
     """node, n (other vectors linked, but for equal ones), component: nodes with links."""
-    spark = nodes.sparkSession
-    planted = nodes.select("node", "label", "dim", "vec").mapInArrow(workers.by_task(_plant(trees, bits, seed)), "tree int, label long, dim int, code long, at double, node long, vec binary")
-    parts = max(common.shuffle_partitions(spark), trees * -(-common.stored_bytes(nodes) // common.TARGET_BYTES))
-    order = ["tree", "label", "dim", "code", "at", "node"]
-    start = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(workers.by_task(_runs(k, run_length)), "u long, v long, sim double")
-    graph = common.materialize(common.few(_top(start, k), nodes))
-    linked = F.sum(F.size(F.filter("near", lambda x: x["sim"] >= threshold)))
-    n_linked = graph.df.agg(linked).first()[0] or 0
-    for _ in range(rounds):
-        held = graph.df.select(F.col("u").alias("v"), F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(F.lit(-1.0)).alias("worst"))
-        vectors = nodes.join(held, nodes["node"] == held["v"]).select("v", "dim", "vec", "worst")
-        lists = graph.df.select(F.col("u").alias("x"), F.explode(F.array_append(F.transform("near", lambda e: e["v"]), F.col("u"))).alias("v"))
-        members = lists.join(vectors, "v").groupBy("x").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("v", "worst", "vec")).alias("members")).select("dim", "members")
-        better = members.mapInArrow(workers.by_task(_local_join), "u long, v long, sim double")
-        old = graph.df.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim")
-        then = common.materialize(common.few(_top(old.unionByName(better), k), nodes))
-        graph.drop()
-        graph = then
-        now = graph.df.agg(linked).first()[0] or 0
-        if now <= n_linked:
-            break
-        n_linked = now
-    near = graph.df.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select("u", "e.v")
-    near = common.materialize(common.few(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), graph.df)).df
+    near = graph.df.where(F.col("sim") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = nodes.select(F.col("node").alias("u"), "dim", F.col("vec").alias("x")), nodes.select(F.col("node").alias("v"), F.col("vec").alias("y"))
+    near = near.join(ends[0], "u").join(ends[1], "v").select("u", "v", "dim", "x", "y").mapInArrow(workers.by_task(_exact(threshold)), "u long, v long")
+    near = common.materialize(common.few(near.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v"), graph.df, narrow=False)).df
     part = common.materialize(common.few(components(near.where("u > v")), near)).df
-    full = graph.df.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold)).select(F.col("u").alias("node"))
+    full = common.materialize(_saturated(graph, length, threshold).withColumnRenamed("u", "node")).df
     part = _across(nodes, part, full, threshold)
     saturated = part.join(full, "node", "left_semi").select("component").distinct()
     weights = nodes.select(F.col("node").alias("v"), "weight")
