@@ -49,14 +49,57 @@ def test_limit_is_exact(session):
     assert h.to_arrow().num_rows == 37
 
 
-def test_two_queries_share_one_scan(session):
+def test_two_queries_read_what_they_need(session):
     a = session.add_query("SELECT tick FROM PawnLog WHERE delta_type = 'create'")
     b = session.add_query("SELECT d.tick, p.entity_index FROM DamageEvent d JOIN PawnLog p ON d.tick = p.tick")
     session.start()
-    assert "InMemoryTableScan" in session.spark.sql(a.sql)._jdf.queryExecution().executedPlan().toString()
+    plan = session.spark.sql(a.sql)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "m_iHealth" not in plan
     assert a.to_arrow().num_rows > 0 and b.to_arrow().num_rows > 0
 
 
+@pytest.mark.parametrize("sql", ["DROP VIEW PawnLog", "CREATE VIEW v AS SELECT 1", "INSERT INTO PawnLog SELECT * FROM PawnLog", "WITH w AS (SELECT 1) INSERT INTO PawnLog SELECT * FROM w", "SET spark.sql.ansi.enabled = false", "SHOW TABLES", "EXPLAIN SELECT 1", "CACHE TABLE PawnLog", "DELETE FROM PawnLog", "BEGIN SELECT 1; END", "DESCRIBE PawnLog"])
+def test_only_queries_are_accepted(session, sql):
+    with pytest.raises(QueryError):
+        session.add_query(sql)
+    h = session.add_query("SELECT count(*) AS n FROM PawnLog")
+    session.start()
+    assert h.to_arrow().to_pydict()["n"][0] > 0
+
+
+def test_leaving_early_cancels(session):
+    h = session.add_query("SELECT tick FROM PawnLog")
+    session.start()
+    it = iter(h)
+    assert next(it).num_rows > 0
+    it.close()
+    assert not session.spark.sparkContext.getJobTags()
+    assert h.to_arrow().num_rows == h.df.count()
+
+
+def test_cancel_reaches_other_threads(session):
+    import threading
+    import time
+
+    h = session.add_query("SELECT p.tick FROM PawnLog p, PawnLog q, PawnLog r, PawnLog s WHERE p.seq + q.seq + r.seq + s.seq < -1")
+    session.start()
+    ended = []
+
+    def run():
+        try:
+            ended.append(list(h))
+        except Exception as e:  # a cancelled job fails
+            ended.append(e)
+
+    t = threading.Thread(target=run)
+    t.start()
+    time.sleep(8)
+    assert t.is_alive()
+    session.cancel()
+    t.join(60)
+    assert not t.is_alive() and ended
+
+
 def test_async(session):
     h = session.add_query("SELECT tick FROM DamageEvent")
 
@@ -110,6 +153,22 @@ def test_from_dataframes(spark, sf):
         h = s.add_query("SELECT sum(damage) AS n FROM D")
         s.start()
         assert h.to_arrow().to_pydict()["n"][0] > 0
+    assert not spark.catalog.tableExists("D")
+
+
+def test_from_dataframes_runs_the_logs_sql(spark, sf):
+    base = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
+    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "false")
+    try:
+        with from_dataframes({"D": adapter.damage(spark, sf)}) as s:
+            h = s.add_query('SELECT "tick", gcd(damage, 4) AS g FROM D')
+            s.start()
+            got = h.to_arrow()
+    finally:
+        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", base)
+    assert got.schema.names == ["tick", "g"] and all(isinstance(x, int) for x in got["tick"].to_pylist())
+    with pytest.raises(SessionError):
+        from_dataframes({})
 
 
 def test_analysis(spark):

@@ -1,10 +1,10 @@
-"""Names of the tables a SQL text reads or writes."""
+"""What a SQL text is and which tables it names, from its parsed form."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..errors import query_error
+from ..errors import QueryError, query_error
 
 
 def _walk(node, out: set[str]) -> None:
@@ -32,3 +32,23 @@ def extract_table_names(spark: SparkSession, sql: str) -> list[str]:
     out: set[str] = set()
     _walk(plan, out)
     return sorted(out)
+
+
+#: Base classes of parsed statements that do something instead of describing rows.
+_DOING = ("Command", "ParsedStatement", "CompoundPlanStatement")
+
+
+def require_query(spark: SparkSession, sql: str) -> None:
+    """Refuse DDL, DML, SET, SHOW, EXPLAIN and scripts, before anything of them runs."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    loader = plan.getClass().getClassLoader()
+    doing = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in _DOING]
+
+    def walk(node) -> None:
+        if any(c.isInstance(node) for c in doing):
+            raise QueryError(f"only queries are accepted, not {node.nodeName()}", "not_implemented")
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(plan)

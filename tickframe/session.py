@@ -8,14 +8,13 @@ import uuid
 from collections.abc import AsyncIterator, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .errors import AlreadyStarted, ArrowError, NoQueries, SessionError, query_error
+from .errors import AlreadyStarted, ArrowError, NoQueries, QueryError, SessionError, query_error
 from .functions import scalars
 from .plans import safety
-from .plans.tables import extract_table_names
+from .plans.tables import require_query
 from .sources import changelog
 
 log = logging.getLogger(__name__)
@@ -42,13 +41,17 @@ class QueryHandle:
     def __init__(self, session: LogSession, df: DataFrame, sql: str):
         self._session, self.df, self.sql = session, df, sql
         self.stats = {"batches": 0, "rows": 0}
+        self._tag = f"{session._tag}-{uuid.uuid4().hex}"
 
     @property
     def schema(self) -> pa.Schema:
         return to_arrow_schema(self.df.schema)
 
     def __iter__(self) -> Iterator[pa.RecordBatch]:
-        """Batches of at most the session's batch size; partitions are fetched one after the other, not all at once."""
+        """Batches of at most the session's batch size; partitions are fetched one after the other, not all at once.
+
+        The jobs carry the session's tag and the handle's, whichever thread iterates; leaving early cancels them.
+        """
         self._session._running()
         most = self._session.batch_size
 
@@ -61,17 +64,30 @@ class QueryHandle:
                         w.write_batch(part)
                     yield pa.record_batch({"ipc": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-        for row in self.df.mapInArrow(pack, "ipc binary").toLocalIterator():
-            if self._session._closed:
-                return
-            try:
-                batches = list(pa.ipc.open_stream(bytes(row["ipc"])))
-            except pa.ArrowInvalid as e:
-                raise ArrowError(str(e)) from e
-            for b in batches:
-                self.stats["batches"] += 1
-                self.stats["rows"] += b.num_rows
-                yield b
+        context, tags, ended = self._session.spark.sparkContext, (self._session._tag, self._tag), False
+        for t in tags:
+            context.addJobTag(t)
+        try:
+            rows = self.df.mapInArrow(pack, "ipc binary").toLocalIterator()
+        finally:
+            for t in tags:
+                context.removeJobTag(t)
+        try:
+            for row in rows:
+                if self._session._closed:
+                    return
+                try:
+                    batches = list(pa.ipc.open_stream(bytes(row["ipc"])))
+                except pa.ArrowInvalid as e:
+                    raise ArrowError(str(e)) from e
+                for b in batches:
+                    self.stats["batches"] += 1
+                    self.stats["rows"] += b.num_rows
+                    yield b
+            ended = True
+        finally:
+            if not ended:
+                context.cancelJobsWithTag(self._tag)
 
     async def __aiter__(self) -> AsyncIterator[pa.RecordBatch]:
         it, end = iter(self), object()
@@ -85,8 +101,8 @@ class QueryHandle:
 class LogSession:
     """Queries over the tables of one log.
 
-    batch: any query runs. strict: queries whose plans hold back their output are refused when they are added. Each table
-    that more than one scan of the registered queries reads is kept after its first read, so the log is read once.
+    batch: any query runs. strict: queries whose plans hold back their output are refused when they are added. Each query
+    reads the columns and rows it needs; nothing is kept between them, so a log of any size fills no disk.
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], *, batch_size: int = BATCH_SIZE, reject_pipeline_breakers: bool = False):
@@ -96,8 +112,7 @@ class LogSession:
         self._tables = tables
         self._handles: list[QueryHandle] = []
         self._started = self._closed = False
-        self._shared: list[DataFrame] = []
-        self._group = f"tickframe-{uuid.uuid4().hex}"
+        self._tag = f"tickframe-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
 
@@ -113,13 +128,16 @@ class LogSession:
         return to_arrow_schema(df.schema) if df is not None else None
 
     def add_query(self, sql: str) -> QueryHandle:
-        """Plan a query at once: unknown tables or columns and bad syntax fail here."""
+        """Plan a query at once: unknown tables or columns and bad syntax fail here, and so does all that is no query."""
         self._open()
         if self._started:
             raise AlreadyStarted("queries can't be added after start")
         try:
+            require_query(self.spark, sql)
             df = self.spark.sql(sql)
             df.schema  # noqa: B018  analyses the plan
+        except QueryError:
+            raise
         except Exception as e:
             raise query_error(e) from e
         found = safety.analyze(df)
@@ -138,23 +156,13 @@ class LogSession:
         if not self._handles:
             raise NoQueries("no queries registered")
         self._started = True
-        scans: dict[str, int] = {}
-        for h in self._handles:
-            for t in extract_table_names(self.spark, h.sql):
-                scans[t.lower()] = scans.get(t.lower(), 0) + 1
-        for name, df in self._tables.items():
-            if scans.get(name.lower(), 0) > 1:
-                self._shared.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        self.spark.sparkContext.setJobGroup(self._group, "log session", True)
 
     def cancel(self) -> None:
-        self.spark.sparkContext.cancelJobGroup(self._group)
+        """Stop the jobs of all handles, on whichever threads they were begun."""
         self._closed = True
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def close(self) -> None:
-        for df in self._shared:
-            df.unpersist()
-        self._shared = []
         self._closed = True
 
     def _open(self) -> None:
@@ -179,17 +187,27 @@ class LogSession:
         self.close()
 
 
+def _own(spark: SparkSession) -> SparkSession:
+    """A Spark session of its own on the same cluster: its settings, views and functions are not the caller's."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    scalars.register(own)
+    return own
+
+
 def open_log(path: str, *, spark: SparkSession | None = None, batch_size: int = BATCH_SIZE, reject_pipeline_breakers: bool = False) -> LogSession:
     """A session over a change log's directory, in a Spark session of its own."""
-    spark = (spark or create_spark()).newSession()
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    scalars.register(spark)
+    spark = _own(spark or create_spark())
     names = changelog.tables(spark, path)
     return LogSession(spark, {n: changelog.read_table(spark, path, n) for n in names}, batch_size=batch_size, reject_pipeline_breakers=reject_pipeline_breakers)
 
 
 def from_dataframes(tables: dict[str, DataFrame], *, batch_size: int = BATCH_SIZE, reject_pipeline_breakers: bool = False) -> LogSession:
-    """A session over DataFrames of one Spark session."""
-    spark = next(iter(tables.values())).sparkSession
-    return LogSession(spark, tables, batch_size=batch_size, reject_pipeline_breakers=reject_pipeline_breakers)
+    """A session over DataFrames of one Spark session; their plans are taken over into a Spark session of its own."""
+    if not tables:
+        raise SessionError("no tables")
+    spark = _own(next(iter(tables.values())).sparkSession)
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    own = {n: DataFrame(rows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark) for n, df in tables.items()}
+    return LogSession(spark, own, batch_size=batch_size, reject_pipeline_breakers=reject_pipeline_breakers)
