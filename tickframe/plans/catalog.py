@@ -93,7 +93,7 @@ sql("tick_join_event_event", "J1", "SELECT d.tick, d.seq AS d_seq, k.seq AS k_se
 sql("self_join_tick", "S16", "SELECT a.tick, a.seq AS a_seq, b.seq AS b_seq FROM {pawn} a JOIN {pawn} b ON a.tick = b.tick AND a.seq < b.seq")
 sql("entity_join_index", "J4", "SELECT a.entity_index, a.n AS creates, b.n AS deletes FROM (SELECT entity_index, count(*) AS n FROM {pawn} WHERE delta_type = 'create' GROUP BY 1) a JOIN (SELECT entity_index, count(*) AS n FROM {pawn} WHERE delta_type = 'delete' GROUP BY 1) b ON a.entity_index = b.entity_index")
 sql("project_literal_computed", "P1 P3 P4 P5", "SELECT p.tick, p.entity_index, p.\"m_iHealth\" > 0 AS alive, 'Pawn' AS source_type FROM {pawn} p".replace('"m_iHealth"', "m_iHealth"))
-sql("select_star", "P2 S8", "SELECT * FROM {pawn} WHERE tick < 100")
+sql("select_star", "P2 S8", "SELECT * FROM {pawn}")
 sql("event_scan", "S9 F2", "SELECT tick, seq, damage FROM {damage} WHERE damage > 20 AND tick < 3000")
 sql("filter_in_range", "F1 F2 F3", "SELECT tick, entity_index, delta_type FROM {pawn} WHERE delta_type IN ('create', 'delete') AND tick >= 100 AND tick < 4000 AND entity_index <> 7")
 sql("filter_equality", "F1", "SELECT tick, entity_index, m_iHealth FROM {pawn} WHERE entity_index = 65")
@@ -206,9 +206,9 @@ def _(embeddings):
 sql("union_all_tagged", "U1 U2 P4", "SELECT tick, entity_index, 'Guardian' AS source_type FROM {pawn} WHERE part = 0 UNION ALL SELECT tick, entity_index, 'Walker' AS source_type FROM {pawn} WHERE part = 1 UNION ALL SELECT tick, entindex_victim AS entity_index, 'Damage' AS source_type FROM {damage}")
 sql("union_distinct", "U3", "SELECT entity_index FROM {pawn} WHERE part = 0 UNION SELECT entindex_attacker AS entity_index FROM {damage}")
 sql("intersect_distinct", "U4", "SELECT user_id FROM {events} WHERE event_type = 'click' INTERSECT SELECT user_id FROM {events} WHERE event_type = 'purchase' AND value > 50")
-sql("intersect_all", "U4", "SELECT user_id, event_type FROM {events} WHERE event_id % 2 = 0 INTERSECT ALL SELECT user_id, event_type FROM {events} WHERE event_id % 3 = 0")
-sql("except_distinct", "U5", "SELECT user_id FROM {events} EXCEPT SELECT user_id FROM {events} WHERE event_type = 'error' AND event_id % 5 = 0")
-sql("except_all", "U5", "SELECT user_id FROM {events} WHERE event_id % 2 = 0 EXCEPT ALL SELECT user_id FROM {events} WHERE event_id % 3 = 0")
+sql("intersect_all", "U4", "SELECT user_id, event_type FROM {events} WHERE value > 20 INTERSECT ALL SELECT user_id, event_type FROM {events} WHERE value < 60")
+sql("except_distinct", "U5", "SELECT user_id FROM {events} EXCEPT SELECT user_id FROM {events} WHERE event_type = 'error' AND value > 60")
+sql("except_all", "U5", "SELECT user_id FROM {events} WHERE value > 20 EXCEPT ALL SELECT user_id FROM {events} WHERE value < 60")
 sql("limit_ordered", "L1 L4 S12", "SELECT tick, seq FROM {pawn} ORDER BY tick, seq LIMIT 50")
 sql("offset_limit", "L6", "SELECT tick, seq, m_iHealth FROM {pawn} ORDER BY tick, seq LIMIT 40 OFFSET 25")
 sql("limit_in_union_branches", "L2", "SELECT * FROM (SELECT tick, 'Pawn' AS source_type FROM {pawn} ORDER BY tick, seq LIMIT 30) a UNION ALL SELECT * FROM (SELECT tick, 'Damage' AS source_type FROM {damage} ORDER BY tick, seq LIMIT 20) b")
@@ -219,7 +219,7 @@ sql("topk_damage", "L5", "SELECT entindex_victim, CAST(sum(damage) AS BIGINT) AS
 
 sql("join_inner", "J9", "SELECT c.c_mktsegment, count(*) AS n, CAST(round(sum(o.o_totalprice), 2) AS DOUBLE) AS total FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
 for _how in ("LEFT", "RIGHT", "FULL"):
-    sql(f"join_{_how.lower()}_outer", "J5", f"SELECT c.c_custkey, o.o_orderkey, o.o_orderkey IS NULL AS no_order, c.c_custkey IS NULL AS no_customer FROM (SELECT * FROM {{customer}} WHERE c_custkey % 3 = 0) c {_how} JOIN (SELECT * FROM {{orders}} WHERE o_orderkey % 5 = 0) o ON c.c_custkey = o.o_custkey")
+    sql(f"join_{_how.lower()}_outer", "J5", f"SELECT c.c_custkey, o.o_orderkey, o.o_orderkey IS NULL AS no_order, c.c_custkey IS NULL AS no_customer FROM {{customer}} c {_how} JOIN {{orders}} o ON c.c_custkey = o.o_custkey")
 sql("join_left_right_full", "J5", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c FULL OUTER JOIN (SELECT * FROM {orders} WHERE o_totalprice > 200000) o ON c.c_custkey = o.o_custkey")
 sql("join_semi", "J6", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
 sql("join_anti", "J6", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
@@ -274,12 +274,12 @@ sql("correlated_exists", "Q-3", "SELECT p_partkey FROM {part} p WHERE EXISTS (SE
 
 sql("scalar_string", "X1", "SELECT p_partkey, ascii(p_name) AS a, length(p_name) AS len, octet_length(p_name) AS ol, bit_length(p_name) AS bl, lower(p_name) AS lo, upper(p_brand) AS up, trim(concat(' ', p_brand, ' ')) AS tr, ltrim(concat(' ', p_brand)) AS lt, rtrim(concat(p_brand, ' ')) AS rt, chr(65 + p_size % 26) AS ch, concat_ws('-', p_brand, p_type) AS cw, contains(p_name, 'a') AS ct, startswith(p_name, 'p') AS sw, endswith(p_type, 'N') AS ew, repeat(p_brand, 2) AS rp, replace(p_brand, '#', '/') AS rc, split_part(p_type, ' ', 2) AS sp, lower(hex(p_size)) AS hx, levenshtein(p_brand, p_type) AS lv FROM {part}",
     "SELECT p_partkey, ascii(p_name) AS a, length(p_name) AS len, strlen(p_name) AS ol, bit_length(p_name) AS bl, lower(p_name) AS lo, upper(p_brand) AS up, trim(concat(' ', p_brand, ' ')) AS tr, ltrim(concat(' ', p_brand)) AS lt, rtrim(concat(p_brand, ' ')) AS rt, chr(CAST(65 + p_size % 26 AS INTEGER)) AS ch, concat_ws('-', p_brand, p_type) AS cw, contains(p_name, 'a') AS ct, starts_with(p_name, 'p') AS sw, ends_with(p_type, 'N') AS ew, repeat(p_brand, 2) AS rp, replace(p_brand, '#', '/') AS rc, split_part(p_type, ' ', 2) AS sp, lower(to_hex(p_size)) AS hx, levenshtein(p_brand, p_type) AS lv FROM {part}")
-sql("scalar_unicode", "X2", "SELECT doc_id, char_length(text) AS n, left(text, 12) AS l, right(text, 9) AS r, lpad(source, 8, '*') AS lp, rpad(source, 8, '*') AS rp, reverse(left(text, 20)) AS rv, instr(text, 'en') AS pos, substr(text, 3, 7) AS sb, translate(left(text, 30), 'aeé', 'xyz') AS tl FROM {documents}",
-    "SELECT doc_id, length(text) AS n, left(text, 12) AS l, right(text, 9) AS r, lpad(source, 8, '*') AS lp, rpad(source, 8, '*') AS rp, reverse(left(text, 20)) AS rv, instr(text, 'en') AS pos, substr(text, 3, 7) AS sb, translate(left(text, 30), 'aeé', 'xyz') AS tl FROM {documents}")
+sql("scalar_unicode", "X2", "SELECT doc_id, char_length(text) AS n, left(text, 12) AS l, right(text, 9) AS r, lpad(source, 8, '*') AS lp, rpad(source, 8, '*') AS rp, md5(reverse(text)) AS rv, instr(text, 'en') AS pos, substr(text, 3, 7) AS sb, md5(translate(text, 'aeé', 'xyz')) AS tl FROM {documents}",
+    "SELECT doc_id, length(text) AS n, left(text, 12) AS l, right(text, 9) AS r, lpad(source, 8, '*') AS lp, rpad(source, 8, '*') AS rp, md5(reverse(text)) AS rv, instr(text, 'en') AS pos, substr(text, 3, 7) AS sb, md5(translate(text, 'aeé', 'xyz')) AS tl FROM {documents}")
 sql("scalar_unicode_more", "X2", "SELECT c_custkey, initcap(lower(c_mktsegment)) AS ic, substring_index(c_name, '#', 1) AS si, find_in_set(c_mktsegment, 'BUILDING,MACHINERY') AS fs FROM {customer}",
     "SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS ic, split_part(c_name, '#', 1) AS si, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS fs FROM {customer}")
-sql("scalar_regex", "X3", "SELECT doc_id, regexp_like(text, 'th[ae]') AS rl, regexp_count(text, '[aeiou][aeiou]') AS rc, regexp_replace(left(text, 40), '[aeiou]+', '_') AS rr, regexp_extract(text, '([a-z]+)ing', 1) AS rx, size(regexp_extract_all(left(text, 200), '([a-z]+)n', 1)) AS ra FROM {documents}",
-    "SELECT doc_id, regexp_matches(text, 'th[ae]') AS rl, CAST(len(regexp_extract_all(text, '[aeiou][aeiou]')) AS INTEGER) AS rc, regexp_replace(left(text, 40), '[aeiou]+', '_', 'g') AS rr, regexp_extract(text, '([a-z]+)ing', 1) AS rx, CAST(len(regexp_extract_all(left(text, 200), '([a-z]+)n', 1)) AS INTEGER) AS ra FROM {documents}")
+sql("scalar_regex", "X3", "SELECT doc_id, regexp_like(text, 'th[ae]') AS rl, regexp_count(text, '[aeiou][aeiou]') AS rc, md5(regexp_replace(text, '[aeiou]+', '_')) AS rr, regexp_extract(text, '([a-z]+)ing', 1) AS rx, size(regexp_extract_all(text, '([a-z]+)n', 1)) AS ra FROM {documents}",
+    "SELECT doc_id, regexp_matches(text, 'th[ae]') AS rl, CAST(len(regexp_extract_all(text, '[aeiou][aeiou]')) AS INTEGER) AS rc, md5(regexp_replace(text, '[aeiou]+', '_', 'g')) AS rr, regexp_extract(text, '([a-z]+)ing', 1) AS rx, CAST(len(regexp_extract_all(text, '([a-z]+)n', 1)) AS INTEGER) AS ra FROM {documents}")
 sql("scalar_datetime", "X4", "SELECT event_id, unix_micros(date_trunc('hour', CAST(ts AS TIMESTAMP))) AS hour_us, CAST(date_part('dow', ts) AS BIGINT) AS dow, CAST(extract(DAY FROM ts) AS BIGINT) AS d, date_format(ts, 'yyyy-MM-dd') AS ymd, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / 900) * 900 AS BIGINT) AS bin, datediff(CAST(ts AS DATE), make_date(2020, 1, 1)) AS days, unix_micros(CAST(ts AS TIMESTAMP) + INTERVAL 1 DAY) AS next_day FROM {events}",
     "SELECT event_id, epoch_us(date_trunc('hour', ts)) AS hour_us, CAST(date_part('dow', ts) + 1 AS BIGINT) AS dow, CAST(extract(DAY FROM ts) AS BIGINT) AS d, strftime(ts, '%Y-%m-%d') AS ymd, CAST(floor(epoch(ts)) AS BIGINT) // 900 * 900 AS bin, CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS INTEGER) AS days, epoch_us(ts + INTERVAL 1 DAY) AS next_day FROM {events}")
 sql("scalar_math", "X5", "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS ab, CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, round(sqrt(l_quantity), 8) AS sq, round(cbrt(l_quantity), 8) AS cb, round(power(l_quantity, 1.5), 6) AS pw, round(exp(l_discount), 8) AS ex, round(ln(l_quantity), 8) AS lnq, round(log10(l_quantity), 8) AS lg, round(log2(l_quantity), 8) AS l2, CAST(signum(l_discount - 0.05) AS INT) AS sg, round(sin(l_quantity), 8) AS si, round(atan2(l_quantity, 3), 8) AS at, round(degrees(l_tax), 8) AS dg, CAST(l_quantity AS BIGINT) % 7 AS md, CAST(l_orderkey AS BIGINT) & 255 AS ba FROM {lineitem}",
