@@ -61,7 +61,7 @@ class Pieces:
         self.match.make_automaton()
         self.length = {i: len(t) for t, i in (self.id | self.loose).items()}
         self.name = {i: t for t, i in (self.id | self.loose).items()}
-        self.pairs = units.Memory(100_000)
+        self.pairs = units.Memory(16 << 20)
         self.known = units.Memory()
         raw = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if s else t.replace(MARK, " ").encode() for i, (t, s) in enumerate(zip(self.text, self.special))]
         self.raw = pa.array(raw, pa.large_binary())

@@ -59,23 +59,29 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+#: Bytes that a remembered entry takes beside its key and value, about.
+ENTRY = 150
+
+
 class Memory:
-    """A cache of bounded size in two generations: when the young one is full it becomes the old one, which is dropped."""
+    """A cache of bounded bytes in two generations: when the young one is full it becomes the old one, which is dropped."""
 
-    def __init__(self, most: int = 120_000):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int = 20 << 20):
+        self.most = most
+        self.clear()
 
     def clear(self) -> None:
         """Forget all: a task's memory ends with it."""
-        self.young, self.old = {}, {}
+        self.young, self.old, self.size = {}, {}, 0
 
     def get(self, key):
         found = self.young.get(key)
         if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
+            self.keep(key, found)
         return found
 
     def keep(self, key, value) -> None:
+        self.size += ENTRY + (len(key) if isinstance(key, str) else 0) + (len(value) if isinstance(value, bytes) else 0)
         self.young[key] = value
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
