@@ -18,18 +18,22 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
+import math
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, workers
 
 #: Hashes in a fingerprint, at most.
 LEAST = 64
-#: Ranges of doc_id, at most; they are streamed, so their number bounds parallelism and not memory.
-RANGES = 4096
+#: Stored bytes of a range of doc_id, about; ranges are streamed, so this bounds a task's time and not its memory.
+RANGE_BYTES = 128 << 20
+#: Ranges up to which their last rows are sent along by a broadcast of one small row a range; beyond it, by a join.
+BROADCAST_RANGES = 1 << 17
 
 
 def parse(text: str, at: int, start: int, seen: set[str]) -> tuple[int, list[str]]:
@@ -120,18 +124,27 @@ def _pairs(batches):
         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], columns)
 
 
+def _range_of(at: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most `at`: looked up in blocks of about the square root of their number."""
+    width = max(1, math.isqrt(len(cuts)))
+    blocks = F.from_json(F.lit(json.dumps([cuts[i : i + width] for i in range(0, len(cuts), width)])), "array<array<bigint>>")
+    heads = F.from_json(F.lit(json.dumps(cuts[::width])), "array<bigint>")
+    block = F.size(F.filter(heads, lambda c: c <= at)) - 1
+    return F.when(block < 0, 0).otherwise(block * width + F.size(F.filter(F.get(blocks, block), lambda c: c <= at)))
+
+
 def edited_likeness(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row for each input row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"))
-    n = min(RANGES, common.pieces(docs, 2 * common.TARGET_BYTES))
-    cut = docs.agg(F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(cut)))).cast("array<long>")
-    docs = docs.withColumn("bucket", F.size(F.filter(cuts, lambda c: F.col("at") >= c)))
-    # one row a range, of which there are RANGES at most
+    n = common.pieces(docs, RANGE_BYTES)
+    cut = docs.agg(F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], max(10_000, 2 * n))).first()[0] or []
+    docs = docs.withColumn("bucket", _range_of(F.col("at"), sorted(set(cut))))
+    # one small row a range
     tops = sorted(((r["bucket"], r["top"]) for r in docs.groupBy("bucket").agg(F.max("at").alias("top")).collect()), reverse=True)
     after = [(tops[(i + 1) % len(tops)][0], tops[(i + 1) % len(tops)][1], k) for i, (k, _) in enumerate(tops)]
-    halo = F.broadcast(spark.createDataFrame(after, "bucket int, top long, into int")) if after else spark.createDataFrame([], "bucket int, top long, into int")
+    halo = spark.createDataFrame(after, "bucket int, top long, into int")
+    halo = F.broadcast(halo) if len(after) <= BROADCAST_RANGES else halo
     sent = docs.join(halo, "bucket", "left").select(F.explode(F.filter(F.array(F.struct("bucket", F.lit(False).alias("halo")), F.struct(F.when(F.col("at") == F.col("top"), F.col("into")).alias("bucket"), F.lit(True).alias("halo"))), lambda x: x["bucket"].isNotNull())).alias("x"), "at", "doc_id", "text").select("x.bucket", "x.halo", "at", "doc_id", "text")
     order = [F.col("bucket"), F.col("halo"), F.col("at").desc(), F.col("text")]
     dealt = sent.repartition(max(n, common.shuffle_partitions(spark)), "bucket").sortWithinPartitions(*order)
