@@ -81,9 +81,20 @@ def few(df: DataFrame, of: DataFrame, narrow: bool = True) -> DataFrame:
     return df.coalesce(n) if narrow else df.repartition(n)
 
 
+#: Estimates from here on mean that Catalyst doesn't know.
+_UNKNOWN = 1 << 60
+
+
 def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df's plan; costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of df by Catalyst's estimate, which costs no job, but no more than its inputs; measured where it is unknown."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    inputs = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    known = min(int(str(plan.stats().sizeInBytes())), inputs)
+    if known < _UNKNOWN:
+        return known
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema]
+    return int(df.agg(F.sum(sum(sizes, F.lit(0)).cast("long"))).first()[0] or 0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
