@@ -5,7 +5,8 @@ exploded as 128-bit hashes and made distinct by (key, doc_id); grouped aggregati
 of every document costs one row a task) counts documents and finds the largest doc_id. Hashes over the threshold are
 written to the shared folder before they are joined back: their size is then known, so they are broadcast where they are
 few, and where they are many the join reads two plain shuffles, which adaptive execution splits at a hot hash. The keys to
-drop are written by document likewise, and the document is put together again from the lines left, in order.
+drop are written by document and, as they grow with the documents, never broadcast; the document is put together again
+from the lines left, in order.
 
 Nulls: a null text counts as one empty line; a null doc_id counts as no document: its lines are neither counted nor
 dropped, and such rows are not shuffled. Rows that share a doc_id count as one document and all keep or lose a line alike.
@@ -70,7 +71,7 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ext
             yield pa.record_batch({"doc_id": b.column("doc_id"), **{c: b.column(c) for c in extra}, "text": pa.array(texts, pa.string()), "n_lines": pa.array(sizes, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    named = docs.where("doc_id IS NOT NULL").join(drop, "doc_id", "left").select("doc_id", *extra, "text", "drop")
+    named = docs.where("doc_id IS NOT NULL").join(drop.hint("merge"), "doc_id", "left").select("doc_id", *extra, "text", "drop")
     nameless = docs.where("doc_id IS NULL").select("doc_id", *extra, "text", F.lit(None).cast("array<binary>").alias("drop"))
     return named.unionByName(nameless).mapInArrow(workers.by_task(cut), f"doc_id long, {kept}text string, n_lines long, n_dropped long")
 
