@@ -48,10 +48,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = common.materialize(taken).df
     same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("own"))
     keyed = docs.select(*COLUMNS, key.alias("own"))
-    # what is taken grows with the documents, so it is never broadcast
+    # what is taken grows with the documents, so it is never broadcast; both joins read one shuffle of the documents
     one = keyed.join(taken.where("n = 1").hint("merge"), same).select(*COLUMNS, "total")
     # groups of equal rows are combined to one before they are taken as often as all of them together
-    many = keyed.join(taken.where("n > 1"), same).groupBy(*COLUMNS, "total").agg(F.count(F.lit(1)).alias("rows")).select(*COLUMNS, "total")
+    many = keyed.join(taken.where("n > 1").hint("merge"), same).groupBy(*COLUMNS, "total").agg(F.count(F.lit(1)).alias("rows")).select(*COLUMNS, "total")
     return op10_mix.repeated(one.unionByName(many), F.col("total"), "copy").select(*COLUMNS)
 
 
