@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,28 @@ def date_bin(seconds: int, ts: Column) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / seconds) * seconds)
 
 
-@F.pandas_udf(T.LongType())
-def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(y) else math.gcd(int(x), int(y)) for x, y in zip(a, b)], dtype="Int64")
+def _whole(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two columns without their nulls (as zeros), and where either is null."""
+    null = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    x, y = (np.abs(pc.fill_null(v.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)) for v in (a, b))
+    if (x < 0).any() or (y < 0).any():
+        raise OverflowError("no divisor of the least bigint")
+    return x, y, null
 
 
-@F.pandas_udf(T.LongType())
-def lcm(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(y) else math.lcm(int(x), int(y)) for x, y in zip(a, b)], dtype="Int64")
+@F.arrow_udf(T.LongType())
+def gcd(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y, null = _whole(a, b)
+    return pa.array(np.gcd(x, y), pa.int64(), mask=null)
+
+
+@F.arrow_udf(T.LongType())
+def lcm(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y, null = _whole(a, b)
+    steps = x // np.maximum(np.gcd(x, y), 1)
+    if (steps > np.iinfo(np.int64).max // np.maximum(y, 1)).any():
+        raise OverflowError("a least common multiple beyond bigint")
+    return pa.array(steps * y, pa.int64(), mask=null)
 
 
 @F.pandas_udf(T.StringType())

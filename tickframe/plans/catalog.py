@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import scalars
+from ..functions import bits, scalars
 from ..operators import analytics
-from ..sources import adapter
+from ..schema import builder
+from ..schema.types import map_type
+from ..session import from_dataframes
+from ..sources import adapter, broadcast, frames as framing
+from . import safety, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -311,3 +317,170 @@ def _(customer):
 @plan("approx_aggs", "G8", None)
 def _(lineitem):
     return lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", [0.5, 0.9]).alias("q"))
+
+
+@plan("approx_aggs_bounds", "G8", "SELECT l_returnflag, TRUE AS parts_close, TRUE AS quantile_close FROM {lineitem} GROUP BY l_returnflag")
+def _(lineitem):
+    found = lineitem.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("n"), F.percentile_approx("l_quantity", 0.5).alias("q"),
+        F.percentile("l_quantity", 0.49).alias("low"), F.percentile("l_quantity", 0.51).alias("high"),
+    )
+    return found.select("l_returnflag", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("parts_close"), F.col("q").between(F.floor("low"), F.ceil("high")).alias("quantile_close"))
+
+
+#: The digests of `abc` that RFC 7693 gives.
+_ABC = (
+    "ba80a53f981c4d0d6a2797b69f12f6e94c212f14685ac4b74b12bb6fdbffa2d17d87c5392aab792dc252d5de4533cc9518d38aa8dbf1925ab92386edd4009923",
+    "508c5e8c327c14e2e1a72ba34eeb452f37458b209ed63a294d999b4c86675982",
+)
+
+
+@plan("scalar_blake_vectors", "X9", f"SELECT c_custkey, '{_ABC[0]}' AS b2b, '{_ABC[1]}' AS b2s FROM {{customer}}")
+def _(customer):
+    return customer.select("c_custkey", scalars.blake2b(F.lit("abc")).alias("b2b"), scalars.blake2s(F.lit("abc")).alias("b2s"))
+
+
+# ---------------------------------------------------------------- framed replays and bits
+
+
+_CMD = "CASE event_type WHEN 'signup' THEN 'SignonPacket' WHEN 'error' THEN 'SendTables' ELSE 'Packet' END"
+_FRAMED = f"SELECT {_CMD} AS cmd, CASE WHEN event_type = 'signup' THEN -1 ELSE CAST(event_id // 2 AS INT) END AS tick, event_id % 2 = 0 AS compressed, concat(event_id, '|', coalesce(props, '')) AS body FROM {{events}}"
+
+
+def _commands(events: DataFrame, fragment: bool) -> DataFrame:
+    rows = events.selectExpr(f"{_CMD} AS cmd", "CASE WHEN event_type = 'signup' THEN -1 ELSE CAST(event_id div 2 AS INT) END AS tick", "event_id % 2 = 0 AS compressed", "CAST(concat(event_id, '|', coalesce(props, '')) AS BINARY) AS body")
+    return framing.unframed(framing.framed(rows, fragment), fragment).select("cmd", "tick", "compressed", F.col("body").cast("string").alias("body"))
+
+
+@plan("replay_frames", "S1 D1 D2", _FRAMED)
+def _(events):
+    return _commands(events, False)
+
+
+@plan("broadcast_frames", "S3 D3", _FRAMED.replace("event_id % 2 = 0 AS", "FALSE AS"))
+def _(events):
+    return _commands(events, True)
+
+
+@plan("bit_values", "D14", """SELECT event_id, event_id % 2 = 0 AS flag, user_id AS short, user_id * 37 AS field_number, -event_id AS signed, event_id AS unsigned,
+CAST(CASE WHEN event_id % 3 = 0 THEN -1.0 ELSE 1.0 END * (event_id % 16384 + (event_id % 32) / 32.0) AS DOUBLE) + CAST(0 AS DOUBLE) AS coord, CAST((event_id % 256) * 1.40625 AS DOUBLE) AS angle FROM {events}""")
+def _(events):
+    schema = "event_id bigint, flag boolean, short bigint, field_number bigint, signed bigint, unsigned bigint, coord double, angle double"
+
+    def pack(batches):
+        for b in batches:
+            out = []
+            for e, u in zip(b.column("event_id").to_pylist(), b.column("user_id").to_pylist()):
+                coord = (-1 if e % 3 == 0 else 1) * (e % 16384 + e % 32 / 32)
+                out.append(bits.BitsOut().put(e % 2 == 0, 1).short(u).field_number(u * 37).varint(-e).uvarint(e).coord(coord).put(e % 256, 8).bytes())
+            yield pa.record_batch([b.column("event_id"), pa.array(out, pa.binary())], ["event_id", "message"])
+
+    def unpack(batches):
+        for b in batches:
+            out = []
+            for e, message in zip(b.column("event_id").to_pylist(), b.column("message").to_pylist()):
+                r = bits.Bits(message)
+                out.append((e, r.flag(), r.short(), r.field_number(), r.varint(), r.uvarint(), r.coord(), r.angle(8)))
+            if out:
+                types = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in schema.split(", ")])
+
+    return events.select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint")).mapInArrow(pack, "event_id bigint, message binary").mapInArrow(unpack, schema)
+
+
+# ---------------------------------------------------------------- schemas, sessions and plans as tables
+
+
+def told(name: str, ids: str, columns: str, rows: list[tuple], f) -> None:
+    """A table of what the engine says, f(spark, sf_dir), and of what it ought to say, given as rows."""
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    names = [c.split()[0] for c in columns.split(", ")]
+    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(f(spark, sf_dir), columns)
+    ORACLE_SQL[name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({', '.join(names)})"
+    COVERS[name] = ids
+
+
+_TYPES = [
+    ("int32", "bigint", ""), ("uint64", "decimal(20,0)", ""), ("float32", "float", ""), ("bool", "boolean", ""), ("CUtlString", "binary", ""), ("Vector", "float", "xyz"), ("Vector2D", "float", "xy"), ("QAngle", "float", "xyz"),
+    ("CHandle< CBaseEntity >", "bigint", ""), ("CNetworkUtlVectorBase< int32 >", "array<bigint>", ""), ("uint16[4]", "array<decimal(20,0)>", ""), ("char[129]", "binary", ""), ("HeroID_t", "int", ""), ("CBodyComponent*", None, ""),
+]
+
+
+def _mapped(text: str) -> tuple:
+    m = map_type(text)
+    return text, None if m.nested else m.spark.simpleString(), m.axes
+
+
+told("type_grammar", "D13 D15", "source string, type string, axes string", _TYPES, lambda spark, sf_dir: [_mapped(t) for t, *_ in _TYPES])
+
+_NAMED = [("SELECT * FROM b JOIN a USING (tick)", "a,b"), ("WITH c AS (SELECT * FROM x) SELECT * FROM c", "c,x"), ("SELECT * FROM (SELECT * FROM d) UNION ALL SELECT * FROM s.e", "d,e"), ("SELECT * FROM f WHERE k IN (SELECT k FROM g)", "f"), ("SELECT 1", "")]
+told("table_names", "Q-6", "query string, names string", _NAMED, lambda spark, sf_dir: [(q, ",".join(tables.extract_table_names(spark, q))) for q, _ in _NAMED])
+
+_SAFE = [
+    ("SELECT tick, damage FROM damage WHERE damage > 5", True, ""),
+    ("SELECT tick FROM damage ORDER BY tick", True, ""),
+    ("SELECT tick, count(*) FROM damage GROUP BY tick", True, ""),
+    ("SELECT d.tick FROM damage d JOIN pawn p ON d.tick = p.tick", True, ""),
+    ("SELECT tick FROM damage UNION ALL SELECT tick FROM pawn", True, ""),
+    ("SELECT tick FROM damage ORDER BY damage", False, "Sort"),
+    ("SELECT count(*) FROM damage", False, "Aggregate"),
+    ("SELECT d.tick FROM damage d LEFT JOIN pawn p ON d.tick = p.tick", False, "Join"),
+    ("SELECT DISTINCT damage FROM damage", False, "Distinct"),
+    ("SELECT tick, row_number() OVER (ORDER BY seq) FROM damage", False, "Window"),
+]
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    log = frames(spark, sf_dir, {"damage", "pawn"})
+    out = []
+    for text, _, _ in _SAFE:
+        found = safety.analyze(spark.sql(re.sub(r"\b(FROM|JOIN) (damage|pawn)\b", r"\1 {\2}", text), **{n: df for n, df in log.items() if f" {n}" in text}))
+        out.append((text, found.streaming_safe, ",".join(b.operator for b in found.breakers)))
+    return out
+
+
+told("plan_safety", "T7 T8", "query string, safe boolean, breakers string", _SAFE, _judged)
+
+_SYNC_BODY = b'{"tick": 100, "endtick": 200, "maxtick": 190, "rtdelay": 1.5, "rcvage": 0.25, "fragment": 7, "signup_fragment": 1, "tps": 64, "keyframe_interval": 3, "map": "start", "protocol": 5, "other": 0}'
+told("sync_metadata", "S5", "tick bigint, endtick bigint, rtdelay double, fragment bigint, signup_fragment bigint, map string", [(100, 200, 1.5, 7, 1, "start")], lambda spark, sf_dir: [(s.tick, s.endtick, s.rtdelay, s.fragment, s.signup_fragment, s.map) for s in [broadcast.SyncInfo.parse(_SYNC_BODY)]])
+told("backoff_delays", "S6", "attempt bigint, seconds double", [(1, 0.5), (2, 1.0), (3, 2.0), (4, 4.0), (5, 4.0), (9, 4.0)], lambda spark, sf_dir: [(k, broadcast.ClientConfig().backoff(k)) for k in (1, 2, 3, 4, 5, 9)])
+
+
+@plan("quoted_identifiers", "P6 A-2 A-4", 'SELECT "tick", "m_iHealth", "cellX" AS "Cell X" FROM {pawn} WHERE "m_iHealth" > 100')
+def _(pawn):
+    return from_dataframes({"PawnLog": pawn}).add_query('SELECT "tick", "m_iHealth", "cellX" AS "Cell X" FROM PawnLog WHERE "m_iHealth" > 100').df
+
+
+_COLUMNS = [("DamageLog", "tick", "int32"), ("DamageLog", "damage", "int32"), ("PawnLog", "tick", "int32"), ("PawnLog", "delta_type", "string"), ("PawnLog", "m_iHealth", "int64"), ("Nothing", None, None)]
+
+
+def _schemas(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    with from_dataframes({"PawnLog": adapter.pawn(spark, sf_dir), "DamageLog": adapter.damage(spark, sf_dir)}) as s:
+        found = [(t, f.name, str(f.type)) for t in s.get_tables() for f in s.get_schema(t)]
+        asked = {(t, c) for t, c, _ in _COLUMNS}
+        return [r for r in found if r[:2] in asked] + [("Nothing", None, None)] * (s.get_schema("Nothing") is None)
+
+
+told("session_catalog", "S18 A-3 A-7", "tab string, col string, type string", _COLUMNS, _schemas)
+
+_SCANS = [("event_scan", "event_id,event_type,value", "event_type")]
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    out = []
+    for name, _, _ in _SCANS:
+        text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        read = re.findall(r"ReadSchema: struct<([^>]*)>", text)[0]
+        pushed = set(re.findall(r"EqualTo\((\w+),", text))
+        out.append((name, ",".join(sorted(c.split(":")[0] for c in read.split(","))), ",".join(sorted(pushed))))
+    return out
+
+
+told("scan_pushdown", "S11 S13 S14", "query string, columns string, pushed string", _SCANS, _scanned)
+
+
+@plan("conform_batch", "D16", """SELECT CAST(event_id AS INTEGER) AS tick, CAST(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END AS INTEGER) AS wrapped, CAST(NULL AS VARCHAR) AS missing, value
+FROM (SELECT event_id, value, (event_id * 1000003 + 3000000000) & 4294967295 AS x FROM {events})""")
+def _(events):
+    schema = T.StructType([T.StructField("tick", T.IntegerType()), T.StructField("wrapped", T.IntegerType()), T.StructField("missing", T.StringType()), T.StructField("value", T.DoubleType())])
+    return builder.conform(events.selectExpr("event_id AS tick", "event_id * 1000003 + 3000000000 AS wrapped", "value", "props AS left_out"), schema)
