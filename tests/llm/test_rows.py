@@ -227,6 +227,30 @@ def test_quotations(spark):
     assert op8_quotes.link_quotations(df.where("false")).count() == 0
 
 
+def test_quotations_of_hot_groups(spark):
+    first, short = "Common opening words of a thread.", "yes"
+    rows = [(1, 0, "user", first), (1, 1, "user", "second part\n\nthird part")]
+    # one thread of all conversations, one conversation of equal and of missing turns, repeated rows and one hot passage
+    rows += [(c, 0, "user", f"> {first}\nanswer {c % 3}") for c in range(2, 60)]
+    rows += [(60, None, "user", short)] * 40 + [(60, 7, "user", "> yes\nagain")] * 30
+    rows += [(61, t, "user", f"> {first}\n\n" + ("loop" if t % 5 else "> loop\nloop")) for t in range(80)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    key = lambda r: (str(r[4]), r[5])
+    old = op8_quotes._ranges
+    try:
+        op8_quotes._ranges = lambda df: 7  # ranges that cut through every hot group
+        got = [tuple(r) for r in op8_quotes.link_quotations(df).collect()]
+    finally:
+        op8_quotes._ranges = old
+    assert sorted(got, key=key) == sorted(talk_by_hand(rows), key=key) == sorted(by_duckdb(rows), key=key)
+
+
+def test_quoted_conversations_link(spark):
+    got = op8_quotes.quoted_conversations(spark, "/root/testdata/sf0.001")
+    n, quoted, linked = got.agg(F.count("*"), F.sum("n_quoted"), F.sum("n_linked")).first()
+    assert n == spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count() and quoted > n / 2 and linked == quoted
+
+
 def by_duckdb(rows):
     import duckdb
     import pyarrow as pa

@@ -8,9 +8,11 @@ without a linked quote it replies to the message before it. Conversations whose
 join their thread. Messages come out in reply order, which never puts a reply before what it replies to, and without their
 quotes.
 
-Only built-in DataFrame functions are used. Originals are looked up in two ways that never pair a group with itself: a
-window over (passage, conversation), and one aggregated row a passage. Positions are counted in blocks of turns, so that a
-hot conversation is spread over tasks.
+Only built-in DataFrame functions are used. Originals are looked up in two ways that never pair a group with itself: the
+last one before in (passage, conversation), and one aggregated row a passage. What is counted or looked up in order is cut
+into ranges of that order, however its keys are spread; each range is one task's, and ranges are combined by one row each. So
+a hot conversation, passage, turn or thread is spread over tasks; only messages that share conversation, turn, role and the
+first 64 characters of longer texts lie in one range.
 
 Nulls: a null text counts as empty; null conversations are one, before all others; null turns come first in their
 conversation. Rows that share conversation and turn are ordered by role and text; repeated rows are messages of their own.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Turns in one block of a conversation.
-BLOCK = 1024
+#: Leading characters of a text that ranges of messages are cut by.
+_LEAD = 64
 _CUT, _END = "\x01", "\x02"
 _LOW = -(1 << 63)
 
@@ -62,15 +64,35 @@ def _clean(text: Column, lines: Column) -> Column:
     return F.when(F.exists(lines, lambda x: x["depth"] > 0), F.regexp_replace(body, r"^\s+|\s+$", "")).otherwise(F.coalesce(text, F.lit("")))
 
 
+def _ranges(df: DataFrame) -> int:
+    return min(common.shuffle_partitions(df.sparkSession), max(1, -(-common.stored_bytes(df) // common.PART_BYTES)))
+
+
+def _running(df: DataFrame, group: list[str], by: str, total: Column) -> DataFrame:
+    """df with `ahead`: total (of one column of df) over the rows of smaller `by` in the group, which is unique in it."""
+    written = common.materialize(df).df
+    part = common.materialize(written.repartitionByRange(_ranges(written), *group, by).withColumn("part", F.spark_partition_id())).df
+    earlier = Window.unboundedPreceding, -1
+    inside = part.withColumn("within", total.over(Window.partitionBy(*group, "part").orderBy(by).rowsBetween(*earlier)))
+    parts = part.groupBy(*group, "part").agg(total.alias("all"))
+    fold = F.max if dict(parts.dtypes)["all"].startswith("struct") else F.sum
+    parts = parts.select(*group, "part", fold("all").over(Window.partitionBy(*group).orderBy("part").rowsBetween(*earlier)).alias("over"))
+    both = F.coalesce("within", "over") if fold is F.max else F.coalesce(F.col("within") + F.col("over"), "within", "over")
+    return inside.join(parts, [*group, "part"]).withColumn("ahead", both).drop("part", "within", "over")
+
+
 def link_quotations(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), thread_id, position (from 0, in the thread), parent_conv, parent_turn,
     link (quote, turn or root), depth (deepest quote), n_quoted, n_linked (passages): one row for each input row."""
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    lined = own.withColumn("lines", _lines(F.col("text"))).withColumn("passages", _passages(F.col("lines")))
-    # numbers that order messages of one turn; written down, so that they don't change when a task runs again
-    lined = lined.withColumn("conv", F.coalesce("conv_id", F.lit(_LOW))).withColumn("at", F.coalesce("turn", F.lit(_LOW)))
-    block = (F.floor(F.col("at") / BLOCK)).cast("long")
-    messages = lined.select("conv_id", "turn", "role", "conv", "at", block.alias("block"), F.row_number().over(Window.partitionBy("conv", block).orderBy("at", "role", "text")).alias("in_block"), _clean(F.col("text"), F.col("lines")).alias("text"), F.transform("passages", lambda p: F.struct(p["depth"].alias("depth"), _hash(p["body"]).alias("hash"))).alias("passages"))
+    own = own.withColumn("conv", F.coalesce("conv_id", F.lit(_LOW))).withColumn("at", F.coalesce("turn", F.lit(_LOW)))
+    # ranges of messages in their order, numbered within; written down, so that they don't change when a task runs again
+    whole = F.length(F.coalesce("text", F.lit(""))) <= _LEAD
+    cuts = ["conv", "at", "role", F.substring("text", 1, _LEAD), F.when(whole, F.monotonically_increasing_id())]
+    dealt = own.repartitionByRange(_ranges(own), *cuts).sortWithinPartitions("conv", "at", "role", "text")
+    dealt = dealt.withColumn("block", F.spark_partition_id().cast("long")).withColumn("in_block", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    lined = dealt.withColumn("lines", _lines(F.col("text"))).withColumn("passages", _passages(F.col("lines")))
+    messages = lined.select("conv_id", "turn", "role", "conv", "at", "block", "in_block", _clean(F.col("text"), F.col("lines")).alias("text"), F.transform("passages", lambda p: F.struct(p["depth"].alias("depth"), _hash(p["body"]).alias("hash"))).alias("passages"))
     messages = common.materialize(messages).df
     key = ["conv", "block", "in_block"]
 
@@ -79,10 +101,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     wanted = quotes.select("hash").distinct()
     originals = found.where("depth = 0").join(wanted, "hash", "left_semi")
     me = F.struct("conv", "at", "block", "in_block")
-    # nearest earlier original of the same conversation
-    by = Window.partitionBy("hash", "conv").orderBy("at", F.col("depth").desc(), "in_block")
-    both = originals.unionByName(quotes).withColumn("before", F.last(F.when(F.col("depth") == 0, me), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    near = both.where("depth > 0")
+    # nearest earlier original of the same conversation, looked up once a (passage, conversation, turn)
+    steps = originals.unionByName(quotes).groupBy("hash", "conv", "at").agg(F.max(F.when(F.col("depth") == 0, me)).alias("own"))
+    before = _running(common.few(steps, messages), ["hash", "conv"], "at", F.max("own")).select("hash", "conv", "at", F.col("ahead").alias("before"))
+    near = quotes.join(before, ["hash", "conv", "at"])
     # else the first of all
     first = originals.groupBy("hash").agg(F.min(me).alias("first"))
     linked = near.join(first, "hash", "left").withColumn("to", F.coalesce("before", F.when(F.struct("first.conv", "first.at") < F.struct("conv", "at"), F.col("first"))))
@@ -92,32 +114,44 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     replies = common.materialize(common.few(seen.join(chosen, key, "left"), messages)).df
 
     # blocks of a conversation: how many messages come before each, and the last one of the block before it
-    blocks = messages.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("in_block", "conv_id", "turn")).alias("last"))
+    blocks = messages.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.min("in_block").alias("start"), F.max(F.struct("in_block", "conv_id", "turn")).alias("last"))
     order = Window.partitionBy("conv").orderBy("block")
-    blocks = blocks.select("conv", "block", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.lag("last").over(order).alias("last_before"))
+    blocks = blocks.select("conv", "block", "start", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.lag("last").over(order).alias("last_before"))
     # threads: a conversation hangs under the one its first quote of another conversation comes from
     hung = replies.where("to.conv <> conv").groupBy("conv").agg(F.min_by("to.conv", F.struct("block", "in_block")).alias("up"))
     roots = common.materialize(common.few(hung, replies)).df
     while not roots.join(roots.select(F.col("conv").alias("up")), "up", "left_semi").isEmpty():
         higher = roots.select(F.col("conv").alias("up"), F.col("up").alias("top"))
         roots = common.materialize(common.few(roots.join(higher, "up", "left").select("conv", F.coalesce("top", "up").alias("up")), roots)).df
-    sizes = messages.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).join(roots, "conv", "left").withColumn("thread", F.coalesce("up", "conv"))
-    in_thread = Window.partitionBy("thread").orderBy("conv").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("conv", "thread", F.coalesce(F.sum("n").over(in_thread), F.lit(0)).alias("offset"))
-    # neighbours within a block
+    sizes = messages.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).join(roots, "conv", "left").select("conv", "n", F.coalesce("up", "conv").alias("thread"))
+    sizes = _running(common.few(sizes, messages), ["thread"], "conv", F.sum("n")).select("conv", "thread", F.coalesce("ahead", F.lit(0)).alias("offset"))
+    # neighbours within a block; what is known of conversations comes by their blocks, for messages stay dealt by blocks
+    blocks = blocks.join(sizes, "conv")
     inside = Window.partitionBy("conv", "block").orderBy("in_block")
     before = F.coalesce(F.lag(F.struct("in_block", "conv_id", "turn")).over(inside), F.col("last_before"))
-    placed = messages.join(blocks, ["conv", "block"]).withColumn("before", before).join(sizes, "conv").join(replies.withColumnRenamed("depth", "deepest"), key, "left")
+    placed = messages.join(blocks, ["conv", "block"]).withColumn("before", before).join(replies.withColumnRenamed("depth", "deepest"), key, "left")
     real = lambda x: F.when(x != _LOW, x)
     link = F.when(F.col("to").isNotNull(), "quote").when(F.col("before").isNotNull(), "turn").otherwise("root")
     zero = F.lit(0).cast("long")
-    return placed.select("conv_id", "turn", "role", "text", real(F.col("thread")).alias("thread_id"), (F.col("offset") + F.col("ahead") + F.col("in_block") - 1).cast("long").alias("position"), F.when(F.col("to").isNotNull(), real(F.col("to.conv"))).otherwise(F.col("before.conv_id")).alias("parent_conv"), F.when(F.col("to").isNotNull(), real(F.col("to.at"))).otherwise(F.col("before.turn")).alias("parent_turn"), link.alias("link"), F.coalesce(F.col("deepest").cast("long"), zero).alias("depth"), F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"))
+    return placed.select("conv_id", "turn", "role", "text", real(F.col("thread")).alias("thread_id"), (F.col("offset") + F.col("ahead") + F.col("in_block") - F.col("start")).cast("long").alias("position"), F.when(F.col("to").isNotNull(), real(F.col("to.conv"))).otherwise(F.col("before.conv_id")).alias("parent_conv"), F.when(F.col("to").isNotNull(), real(F.col("to.at"))).otherwise(F.col("before.turn")).alias("parent_turn"), link.alias("link"), F.coalesce(F.col("deepest").cast("long"), zero).alias("depth"), F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"))
 
 
 def op8_quotation_linking(spark, sf_dir: str) -> DataFrame:
     return link_quotations(common.table(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark, sf_dir: str) -> DataFrame:
+    """The operator over conversations whose messages quote the two messages before them, nested, ahead of their own text."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+
+    def quote(back: int) -> Column:
+        marks = "> " * back
+        return F.concat(F.lit(marks), F.replace(F.coalesce(F.lag("text", back).over(order), F.lit("")), F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+
+    talk = common.table(spark, sf_dir, "conversations")
+    return link_quotations(talk.select("conv_id", "turn", "role", F.concat(quote(2), quote(1), F.coalesce("text", F.lit(""))).alias("text")))
+
+
 #: DuckDB: each quoted passage is looked up in all messages.
 ORACLE_SQL = r"""
 WITH RECURSIVE m AS (
@@ -161,3 +195,12 @@ SELECT f.conv_id, f.turn, f.role, CASE WHEN f.quoting THEN f.cleaned ELSE coales
        CASE WHEN f.target IS NOT NULL THEN 'quote' WHEN f.before IS NOT NULL THEN 'turn' ELSE 'root' END AS link, CAST(coalesce(f.depth, 0) AS BIGINT) AS depth, coalesce(f.n_quoted, 0) AS n_quoted, coalesce(f.n_linked, 0) AS n_linked
 FROM f LEFT JOIN m x ON x.id = coalesce(f.target, f.before)
 """
+
+#: The same over conversations that quote.
+QUOTED_SQL = ORACLE_SQL.replace("FROM conversations", "FROM quoting").replace(
+    "WITH RECURSIVE",
+    """WITH RECURSIVE quoting AS (
+  SELECT conv_id, turn, role, '> > ' || replace(coalesce(lag(text, 2) OVER o, ''), chr(10), chr(10) || '> > ') || chr(10) || '> ' || replace(coalesce(lag(text) OVER o, ''), chr(10), chr(10) || '> ') || chr(10) || coalesce(text, '') AS text
+  FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+),""",
+)

@@ -17,6 +17,7 @@ QUERIES = {
     "op6_line_dedup": op6_lines.op6_line_dedup,
     "op7_sentencepiece": op7_pieces.op7_sentencepiece,
     "op8_quotation_linking": op8_quotes.op8_quotation_linking,
+    "quoted_conversations": op8_quotes.quoted_conversations,
     "op9_language_id": op9_language.op9_language_id,
     "op10_mix": op10_mix.op10_mix,
 }
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op5_embedding_dedup": op5_descent.ORACLE_SQL,
     "op6_line_dedup": op6_lines.ORACLE_SQL,
     "op8_quotation_linking": op8_quotes.ORACLE_SQL,
+    "quoted_conversations": op8_quotes.QUOTED_SQL,
 }
