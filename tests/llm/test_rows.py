@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickframe.llm import common, op3_jaccard, op5_descent, op8_quotes, op9_language, op10_mix, queries
+from tickframe.llm import common, op3_jaccard, op5_descent, op7_pieces, op8_quotes, op9_language, op10_mix, queries
 from tickframe.llm.components import components
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -616,6 +616,95 @@ def test_pipeline_stages(spark, sf):
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in kept.collect())
 
 
+def lines_by_hand(rows, min_chars=40, min_docs=5):
+    space, lower = " \t\n\x0b\x0c\r", str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    key = lambda line: line.strip(space).translate(lower)
+    holders = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            holders.setdefault(key(line), set()).add(doc)
+    gone = {k: max(v) for k, v in holders.items() if len(k) >= min_chars and len(v) >= min_docs}
+    return [(doc, "\n".join(x for x in (text or "").split("\n") if gone.get(key(x), doc) == doc)) for doc, text in rows]
+
+
+def groups_by_hand(rows, width=5, num=80, den=100):
+    sets, up = {}, {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[doc] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root(a), root(b)))
+                up[high] = low
+    return {x: root(x) for x in ids}
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf):
+    import hashlib
+
+    import sentencepiece
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = common.table(spark, sf, "documents")
+    given = docs.orderBy("doc_id").collect()
+    legal = "All rights reserved by the people who wrote this page, wherever they are."
+    texts = {r.doc_id: r.text for r in given}
+    for k, r in enumerate(given[:9]):
+        texts[r.doc_id] += f"\n  {legal.upper() if k % 2 else legal}\t"
+    long_ = [r for r in given if len(r.text.split()) > 200]
+    rows = [(r.doc_id, texts[r.doc_id], r.lang, r.source, r.n_chars) for r in given]
+    for k, r in enumerate(long_[:12]):  # copies, some with a few words changed
+        words = texts[r.doc_id].split(" ")
+        for at in range(0, len(words), 90 if k % 2 else 10**9):
+            words[at] = "changed"
+        rows.append((5000 + k, " ".join(words), r.lang, r.source if k % 3 else "other", 0))
+    odd = [(9000, None, "en", "s", 0), (9001, "", None, None, 0), (9002, " \n ", "en", None, 0)]
+    df = spark.createDataFrame(rows + odd, docs.select(*corpus_pipeline.COLUMNS).schema).repartition(3)
+    run = lambda name, df: common.materialize(stages[name](spark, df, sf)).df
+
+    kept = run("language", df)
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)  # texts in no language go, all others stay as they are
+    cut = run("lines", kept)
+    want = sorted(lines_by_hand([(r.doc_id, r.text) for r in kept.collect()]))
+    assert sorted((r.doc_id, r.text) for r in cut.collect()) == want
+    assert sum(legal.lower() in (x or "").lower() for _, x in want) == 1
+    assert {(r.doc_id, r.n_chars) for r in cut.collect()} == {(d, len(x)) for d, x in want}
+    one = run("near_copies", cut)
+    group = groups_by_hand(want)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(d for d, c in group.items() if d == c)
+    assert sum(d != c for d, c in group.items()) >= 12
+
+    mixed = run("mix", one)
+    copies, words = {}, {}
+    for r in mixed.collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    before = {r.doc_id: r for r in one.collect()}
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in before.values()}
+    for r in before.values():
+        words.setdefault(r.source, {})[r.doc_id] = len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    targets = shares([(s, sum(words[s].values())) for s in sorted(words)])
+    for s, sizes in words.items():
+        ratio = targets[s] / sum(sizes.values())
+        taken = sum(copies.get(d, 0) * n for d, n in sizes.items())
+        assert abs(taken - targets[s]) <= max(sizes.values()) + 1e-6
+        assert all(np.floor(ratio - 1e-9) <= copies.get(d, 0) <= np.ceil(ratio + 1e-9) for d in sizes)
+
+    library = sentencepiece.SentencePieceProcessor(model_file=op7_pieces.default_model())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [(r.doc_id, library.encode(r.text)) for r in mixed.collect()]
+    pieces = [tuple(r) for r in run("pieces", mixed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(pieces) == sorted((d, len(x), sha(",".join(map(str, x))), sha(library.decode(x))) for d, x in ids)
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     text = "some words of a text that says nothing much at all " * 3
