@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,6 +45,10 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(delete, spark, path)
+
+
 class Materialized:
     """A table written to the shared folder; `df` reads it back, `drop()` deletes it once no plan needs it."""
 
@@ -54,7 +58,7 @@ class Materialized:
         self.spark, self.path = spark, f"{shared_dir(spark)}/tickframe/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_delete, spark, self.path)
+        delete_at_exit(spark, self.path)
         # a job's shuffle files go when the driver has collected its plan; without this hint they stay for the session
         if time.monotonic() - Materialized.hinted > HINT_S:
             gc.collect()
@@ -62,7 +66,7 @@ class Materialized:
             Materialized.hinted = time.monotonic()
 
     def drop(self) -> None:
-        _delete(self.spark, self.path)
+        delete(self.spark, self.path)
 
 
 def materialize(df: DataFrame) -> Materialized:
