@@ -67,11 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the tables between them lie in the shared folder."""
+    """All stages over the documents of sf_dir; the table between two of them lies in the shared folder until the second is done."""
     docs = common.table(spark, sf_dir, "documents")
     out = f"{common.shared_dir(spark)}/corpus-pipeline/{uuid.uuid4().hex}"
+    done = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{out}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done is not None:  # its rows are all in the table just written
+            common.delete(spark, done)
+        done = path
+    common.delete_at_exit(spark, out)
     return docs
