@@ -714,3 +714,12 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert set(got) <= {1, 4, None} and 4 in got
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_pipeline_keeps_the_last_table_only(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    same = lambda spark, docs, sf: docs.withColumn("n", F.col("n") + 1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", same), ("b", same), ("c", same)])
+    spark.range(3).select(F.col("id").alias("n")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [3, 4, 5]
+    assert [f.name for f in tmp_path.glob("corpus-pipeline/*/*")] == ["2-c"]
