@@ -62,7 +62,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("pieces", pieces)]
 
-#: Language models, random rounding and tokenisation are not expressible; tests compare each stage with brute force.
+#: Language models, random rounding and tokenisation are not expressible; tests compare lines, near_copies and pieces with
+#: brute force, language by the rows that go and stay, mix by targets, copies a document and residuals.
 ORACLE_SQL = None
 
 
