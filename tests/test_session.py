@@ -2,10 +2,13 @@ import asyncio
 
 import pyarrow as pa
 import pytest
+from duck import same
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tickframe import from_dataframes, open_log
+from tickframe import create_spark, from_dataframes, open_log
 from tickframe.errors import AlreadyStarted, NoQueries, PipelineBreakerError, QueryError, SessionError, SourceIOError
+from tickframe.plans import catalog
 from tickframe.plans.safety import analyze
 from tickframe.plans.tables import extract_table_names
 from tickframe.sources import adapter, changelog
@@ -171,6 +174,57 @@ def test_from_dataframes_runs_the_logs_sql(spark, sf):
         from_dataframes({})
 
 
+@pytest.fixture
+def legacy(spark):
+    """A session that is set up without ANSI mode, so are sessions that come of it; the thread's active one has it off too."""
+    key = "spark.sql.ansi.enabled"
+    base = spark.conf.get(key)
+    own = SparkSession(spark.sparkContext, spark._jvm.org.apache.spark.sql.classic.SparkSession(spark._jsc.sc(), {key: "false"}))
+    assert own.newSession().conf.get(key) == "false"
+    spark.conf.set(key, "false")
+    try:
+        yield own
+    finally:
+        spark.conf.set(key, base)
+
+
+def test_quoted_identifiers_of_a_plain_session(spark, sf):
+    key = "spark.sql.ansi.doubleQuotedIdentifiers"
+    base = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        same(catalog.QUERIES["quoted_identifiers"](spark, sf), catalog.ORACLE_SQL["quoted_identifiers"], sf)
+    finally:
+        spark.conf.set(key, base)
+
+
+def test_quoted_identifiers_without_ansi_mode(legacy, sf):
+    same(catalog.QUERIES["quoted_identifiers"](legacy, sf), catalog.ORACLE_SQL["quoted_identifiers"], sf)
+
+
+def test_taken_over_plans_keep_their_mode(legacy):
+    df = legacy.sql("SELECT id AS `Id`, cast('x' AS int) AS n, 1 / (id - 1) AS d, cast(id + 2147483647 AS int) + 1 AS i FROM range(2)")
+    with from_dataframes({"T": df}) as s:
+        h = s.add_query('SELECT "Id", n, d, i FROM T ORDER BY "Id"')
+        s.start()
+        assert h.to_arrow().to_pylist() == [r.asDict() for r in df.orderBy("Id").collect()] == [{"Id": 0, "n": None, "d": -1.0, "i": -2147483648}, {"Id": 1, "n": None, "d": None, "i": -2147483647}]
+
+
+def test_logs_read_quoted_names_without_ansi_mode(spark, legacy, root):
+    for given in (legacy, None):
+        with open_log(root, spark=given) as s:
+            assert s.add_query('SELECT "tick", "m_iHealth" AS "Health Points" FROM "PawnLog"').schema.types == [pa.int32(), pa.int64()]
+            assert extract_table_names(s.spark, 'SELECT * FROM "PawnLog"') == ["PawnLog"]
+    for caller in (spark, legacy):  # they are as they were
+        assert caller.conf.get("spark.sql.ansi.enabled") == "false" and caller.sql('SELECT "id" FROM range(3)').first()[0] == "id"
+        with pytest.raises(QueryError):
+            extract_table_names(caller, 'SELECT * FROM "PawnLog"')
+
+
+def test_create_spark_reads_quoted_names(legacy):
+    assert create_spark("tests").sql('SELECT "id" FROM range(3)').first()[0] == 0
+
+
 def test_analysis(spark):
     t = spark.range(5).select(F.col("id").cast("int").alias("tick"), F.lit(1).alias("value"))
     t.createOrReplaceTempView("t_analysis")

@@ -19,6 +19,20 @@ def _walk(node, out: set[str]) -> None:
             _walk(children.apply(k), out)
 
 
+def _parse(spark: SparkSession, sql: str):
+    """The parsed statement. The parser reads its settings from the thread's active session, which may be a caller's."""
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
+    try:
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+        else:
+            sessions.clearActiveSession()
+
+
 def extract_table_names(spark: SparkSession, sql: str) -> list[str]:
     """Sorted, distinct table names of a statement, the last part of each; names of common table expressions included.
 
@@ -26,7 +40,7 @@ def extract_table_names(spark: SparkSession, sql: str) -> list[str]:
     expressions are not.
     """
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        plan = _parse(spark, sql)
     except Exception as e:
         raise query_error(e) from e
     out: set[str] = set()
@@ -40,7 +54,7 @@ _DOING = ("Command", "ParsedStatement", "CompoundPlanStatement")
 
 def require_query(spark: SparkSession, sql: str) -> None:
     """Refuse DDL, DML, SET, SHOW, EXPLAIN and scripts, before anything of them runs."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    plan = _parse(spark, sql)
     loader = plan.getClass().getClassLoader()
     doing = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in _DOING]
 

@@ -25,6 +25,7 @@ def create_spark(app: str = "tickframe", **conf: str) -> SparkSession:
     """A Spark session in which the logs' SQL runs as written: quoted mixed-case names, UTC, adaptive plans."""
     builder = SparkSession.builder.appName(app)
     base = {
+        "spark.sql.ansi.enabled": "true",  # without it double quotes make texts, whatever the next setting says
         "spark.sql.ansi.doubleQuotedIdentifiers": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -190,6 +191,7 @@ class LogSession:
 def _own(spark: SparkSession) -> SparkSession:
     """A Spark session of its own on the same cluster: its settings, views and functions are not the caller's."""
     own = spark.newSession()
+    own.conf.set("spark.sql.ansi.enabled", "true")  # plans taken over keep the mode that they were analysed in
     own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     own.conf.set("spark.sql.session.timeZone", "UTC")
     scalars.register(own)
@@ -198,7 +200,7 @@ def _own(spark: SparkSession) -> SparkSession:
 
 def open_log(path: str, *, spark: SparkSession | None = None, batch_size: int = BATCH_SIZE, reject_pipeline_breakers: bool = False) -> LogSession:
     """A session over a change log's directory, in a Spark session of its own."""
-    spark = _own(spark or create_spark())
+    spark = _own(spark or SparkSession.builder.appName("tickframe").getOrCreate())  # create_spark() would change a caller's settings
     names = changelog.tables(spark, path)
     return LogSession(spark, {n: changelog.read_table(spark, path, n) for n in names}, batch_size=batch_size, reject_pipeline_breakers=reject_pipeline_breakers)
 
