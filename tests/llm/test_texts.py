@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -363,3 +366,38 @@ def test_fingerprints_of_odd_rows(spark, rows):
 def test_likeness():
     assert op4_lempel_ziv.likeness([], []) == 1.0 and op4_lempel_ziv.likeness([1], []) == 0.0
     assert op4_lempel_ziv.likeness([1, 2], [2, 3]) == pytest.approx(1 / 3)
+
+
+_WORKER = """
+import random, sys
+import pyarrow as pa
+from pathlib import Path
+from tickframe.llm import op7_pieces, workers
+
+def mb(field):
+    return int(Path("/proc/self/status").read_text().split(field + ":")[1].split()[0]) / 1024
+
+rnd = random.Random(7)
+letters = "etaoinshrdlucmfwygpbvk"
+word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9)))
+common = [word() for _ in range(20_000)]
+texts = [" ".join(word() if rnd.random() < 0.15 else common[int(20_000 * rnd.random() ** 3)] for _ in range(400)) for _ in range(4_000)]
+batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+del texts, common
+path = op7_pieces.default_model()
+op7_pieces.Pieces.load(path)
+workers.release()
+Path("/proc/self/clear_refs").write_text("5")
+before, rows = mb("VmRSS"), 0
+for b in workers.by_task(lambda x: op7_pieces.digested(op7_pieces.decoded(path)(op7_pieces.encoded(path)(x))))(iter([batch])):
+    rows += b.num_rows
+print(rows, batch.nbytes >> 20, round(mb("VmHWM") - before))
+"""
+
+
+def test_op7_worker_holds_little_beside_the_batch():
+    done = subprocess.run([sys.executable, "-c", _WORKER], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    rows, size, grown = map(int, done.stdout.split())
+    assert rows == 4000 and size >= 8
+    assert grown < 110  # 149 with slices of 3 MB, 72 with those of 1 MB

@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from . import common, units, workers
 
 MARK = "▁"
+#: Bytes of text encoded at once, and of the memory of encoded parts: what a worker holds comes on top of its executor's heap.
+SLICE_BYTES = 1 << 20
+KNOWN_BYTES = 12 << 20
 _loaded: dict[str, Pieces] = {}
 
 
@@ -62,7 +65,7 @@ class Pieces:
         self.length = {i: len(t) for t, i in (self.id | self.loose).items()}
         self.name = {i: t for t, i in (self.id | self.loose).items()}
         self.pairs = units.Memory(16 << 20)
-        self.known = units.Memory()
+        self.known = units.Memory(KNOWN_BYTES)
         raw = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if s else t.replace(MARK, " ").encode() for i, (t, s) in enumerate(zip(self.text, self.special))]
         self.raw = pa.array(raw, pa.large_binary())
 
@@ -113,7 +116,7 @@ class Pieces:
         if MARK + MARK in s:
             return [self.id.get(p, self.loose.get(p, -1)) for p in self.merge(s)]
         last = [-1] * (len(s) + 1)
-        pairs = self.pairs.get
+        young = self.pairs.young  # looked into here, which spares most calls of the memory
         for end, (t, n) in self.match.iter(s):
             if last[end + 1] < 0:
                 before = end + 1 - n
@@ -121,8 +124,12 @@ class Pieces:
                     p = last[before]
                     if p < 0:
                         continue
-                    ok = pairs(p << 20 | t)
-                    if not (self.fits(p, t) if ok is None else ok):
+                    ok = young.get(p << 20 | t)
+                    if ok is None:
+                        ok = self.pairs.get(p << 20 | t)
+                        ok = self.fits(p, t) if ok is None else ok
+                        young = self.pairs.young
+                    if not ok:
                         continue
                 last[end + 1] = t
         out, at = [], len(s)
@@ -149,6 +156,7 @@ class Pieces:
         full = pc.if_else(pc.equal(full, ""), full, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), full, pa.scalar(" ", pa.large_string())))
         distinct, number, offsets = units.split(full)
         parts = distinct.to_pylist()
+        del texts, full, distinct
         ids = [self.known.get(u) for u in parts]
         for k, found in enumerate(ids):
             if found is None:
@@ -156,11 +164,13 @@ class Pieces:
                 self.known.keep(parts[k], found)
         flat = np.frombuffer(b"".join(ids), np.int32)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        del parts, ids
         start = np.cumsum(size) - size
         n = size[number]
         to = np.cumsum(n)
         total = int(to[-1]) if len(to) else 0
-        take = np.repeat(start[number] - (to - n), n) + np.arange(total)
+        take = np.repeat(start[number] - (to - n), n)
+        take += np.arange(total)
         ends = np.concatenate([[0], to])[offsets]
         return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat[take] if total else np.zeros(0, np.int32), pa.int32()))
 
@@ -180,8 +190,9 @@ def encoded(model: str):
 
     def run(batches):
         pieces = Pieces.load(model)
-        for b in units.balanced(batches):
+        for b in units.balanced(batches, most=SLICE_BYTES):
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pieces.encode(b.column("text")).cast(pa.list_(pa.int32()))})
+            workers.release()  # what the slice took; the next one's peak would come on top of it
         pieces.known.clear()
 
     return run
