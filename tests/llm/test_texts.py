@@ -305,6 +305,36 @@ def test_pieces_equal_the_library():
         assert own._tokens("▁" + w) == library.encode(w)
 
 
+def test_pieces_are_paired_without_merging_each_pair(monkeypatch):
+    path = op7_pieces.default_model()
+    own, rng, merged = op7_pieces.Pieces(path), random.Random(4), []
+    merge = op7_pieces.Pieces.merge
+    monkeypatch.setattr(op7_pieces.Pieces, "merge", lambda self, s, *least: merged.append(s) or merge(self, s, *least))
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 12))) for _ in range(200)) for _ in range(20)]
+    ids = own.encode(pa.array(texts)).to_pylist()
+    # a piece is merged once, to learn its halves; before, 18,671 merges were made here, nearly all of pairs
+    assert len(merged) == len(set(merged)) and set(merged) <= own.id.keys()
+    tested = [(own.name[a], own.name[b], ok) for b, before in own.fitting.items() for a, ok in before.items() if a >= 0]
+    assert len(tested) > 5000 and {ok for *_, ok in tested} == {True, False}
+    assert all((merge(own, x + y) == [x, y]) == ok for x, y, ok in tested)
+    monkeypatch.setattr(op7_pieces, "PAIRS", 50)  # what is forgotten is tested again
+    again = op7_pieces.Pieces(path)
+    assert again.encode(pa.array(texts)).to_pylist() == ids
+    assert sum(map(len, again.fitting.values())) <= 50
+
+
+def test_pieces_part_at_unknown_letters():
+    import sentencepiece
+
+    path = op7_pieces.default_model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), op7_pieces.Pieces.load(path)
+    assert not {"\x00", "🦩", "𐍈"} & own.id.keys()
+    rng = random.Random(6)
+    texts = ["\x00", "𐍈𐍈", "the🦩the", "  \x00  a", "\x00" * 3 + "there"]
+    texts += ["".join(rng.choice(["there", "ing", "s", " ", "  ", "\x00", "🦩", "𐍈"]) for _ in range(12)) for _ in range(500)]
+    assert own.encode(pa.array(texts)).to_pylist() == library.encode(texts)
+
+
 def test_pieces_query(docs):
     import sentencepiece
 

@@ -2,10 +2,14 @@
 
 In byte-pair encoding every prefix of a text has one encoding, and its last token t is the only vocabulary match ending
 there for which the encoding of what precedes t ends in a token compatible with t (the two, encoded together, stay the
-two). An automaton over the pieces lists the matches, a memory of tested pairs answers compatibility, the table is filled
-from left to right in one pass and the ids are read off backwards. Pieces never hold a space mark after another
+two). An automaton over the pieces lists the matches, a memory of tested pairs at each piece answers compatibility, the
+table is filled from left to right in one pass and the ids are read off backwards. No match ends at a letter of no piece,
+so it parts what precedes it from what follows, and is spelled in bytes. Pieces never hold a space mark after another
 character, so texts are cut before spaces (see units) and each distinct part is encoded once a batch.
 
+A pair is tested by taking back the merges that made its two tokens, the latest first: they stay apart unless, at some
+time, the tokens on both sides of their border make a piece that comes before the merge taken back last.
+
 The marks' runs in this kind of model have equal scores, where "leftmost first" decides and prefixes lose the property
 above: parts with two marks in a row are merged directly with a priority queue.
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from array import array
 
@@ -32,6 +37,10 @@ MARK = "▁"
 #: Bytes of text encoded at once, and of the memory of encoded parts: what a worker holds comes on top of its executor's heap.
 SLICE_BYTES = 1 << 20
 KNOWN_BYTES = 12 << 20
+#: Pairs remembered, of about 50 bytes each; when there are more, all are forgotten.
+PAIRS = 200_000
+#: In place of a token where there is none: before the first, and at a letter of no piece.
+NONE = -1
 _loaded: dict[str, Pieces] = {}
 
 
@@ -59,12 +68,16 @@ class Pieces:
         self.loose = {c: size + k for k, c in enumerate(sorted(letters - self.id.keys()))}
         self.other = re.compile("[^" + "".join(map(re.escape, sorted(letters))) + "]")
         self.match = ahocorasick.Automaton()
+        self.fitting = {i: {} for i in (self.id | self.loose).values()}  # of each token, the ones before it tested so far
+        self.tested = 0
         for t, i in (self.id | self.loose).items():
-            self.match.add_word(t, (i, len(t)))
+            self.match.add_word(t, (i, len(t), self.fitting[i]))
         self.match.make_automaton()
         self.length = {i: len(t) for t, i in (self.id | self.loose).items()}
         self.name = {i: t for t, i in (self.id | self.loose).items()}
-        self.pairs = units.Memory(16 << 20)
+        order = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {t: order[x] for t, x in self.score.items() if len(t) > 1}  # when a merge makes it
+        self.halves: dict[str, list[str]] = {}
         self.known = units.Memory(KNOWN_BYTES)
         raw = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if s else t.replace(MARK, " ").encode() for i, (t, s) in enumerate(zip(self.text, self.special))]
         self.raw = pa.array(raw, pa.large_binary())
@@ -75,8 +88,8 @@ class Pieces:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def merge(self, s: str) -> list[str]:
-        """Plain byte-pair merging: best score first, leftmost among equals."""
+    def merge(self, s: str, least: int = 1) -> list[str]:
+        """Plain byte-pair merging: best score first, leftmost among equals, until `least` tokens are left."""
         part, right, left = list(s), list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
         alive, queue = len(s), []
 
@@ -87,7 +100,7 @@ class Pieces:
 
         for i in range(len(s)):
             offer(i)
-        while queue:
+        while queue and alive > least:
             _, i, a, b = heapq.heappop(queue)
             j = right[i]
             if part[i] != a or j >= len(s) or part[j] != b:
@@ -101,52 +114,83 @@ class Pieces:
                 offer(left[i])
         return [p for p in part if p]
 
+    def split(self, t: str) -> list[str]:
+        """The two tokens whose merge makes a piece."""
+        found = self.halves.get(t)
+        if found is None:
+            found = self.halves[t] = self.merge(t, 2)
+            if len(found) != 2:
+                raise ValueError(f"merges must make each piece, but not {t!r}")
+        return found
+
+    def apart(self, x: str, y: str) -> bool:
+        """Whether two tokens, encoded together, stay the two."""
+        rank, before = self.rank, math.inf
+        while True:
+            if rank.get(x + y, math.inf) < before:
+                return False
+            u, v = rank.get(x, -1), rank.get(y, -1)
+            if u > v:
+                x, before = self.split(x)[1], u
+            elif v >= 0:  # among equals the leftmost is merged first: the right one's merge is the later one
+                y, before = self.split(y)[0], v + 1
+            else:
+                return True
+
     def fits(self, a: int, b: int) -> bool:
-        """Whether tokens a and b, encoded together, stay a and b."""
-        x, y = self.name[a], self.name[b]
-        found = self.merge(x + y) == [x, y]
-        self.pairs.keep(a << 20 | b, found)
+        """Whether token b can follow a."""
+        if self.tested >= PAIRS:
+            for x in self.fitting.values():
+                x.clear()
+            self.tested = 0
+        found = self.fitting[b][a] = a == NONE or self.apart(self.name[a], self.name[b])
+        self.tested += 1
         return found
 
     def _spell(self, c: str) -> list[int]:
         return [self.byte_ids[x] for x in c.encode("utf-8", "surrogatepass")]
 
     def _tokens(self, s: str) -> list[int]:
-        """Tokens of a text of known letters, by the prefix table."""
-        if MARK + MARK in s:
-            return [self.id.get(p, self.loose.get(p, -1)) for p in self.merge(s)]
-        last = [-1] * (len(s) + 1)
-        young = self.pairs.young  # looked into here, which spares most calls of the memory
-        for end, (t, n) in self.match.iter(s):
-            if last[end + 1] < 0:
-                before = end + 1 - n
-                if before:
-                    p = last[before]
-                    if p < 0:
-                        continue
-                    ok = young.get(p << 20 | t)
-                    if ok is None:
-                        ok = self.pairs.get(p << 20 | t)
-                        ok = self.fits(p, t) if ok is None else ok
-                        young = self.pairs.young
-                    if not ok:
-                        continue
-                last[end + 1] = t
-        out, at = [], len(s)
-        while at:
-            out.append(last[at])
-            at -= self.length[last[at]]
-        return out[::-1]
+        """Tokens of a text by the prefix table, with NONE for each letter of no piece."""
+        last, done = [NONE] * (len(s) + 1), -1  # of each prefix by its last letter's place; the empty one is the place -1
+        for end, (t, n, fitting) in self.match.iter(s):
+            if end != done:
+                p = last[end - n]
+                ok = fitting.get(p)
+                if self.fits(p, t) if ok is None else ok:
+                    last[end], done = t, end
+        out, at, length = [], len(s) - 1, self.length
+        while at >= 0:
+            t = last[at]
+            out.append(t)
+            at -= 1 if t < 0 else length[t]
+        out.reverse()
+        return out
+
+    def _merged(self, s: str) -> list[int]:
+        """The same by merging the parts between letters of no piece that have two space marks in a row."""
+
+        def part(x: str) -> list[int]:
+            return [self.id.get(p, self.loose.get(p)) for p in self.merge(x)] if MARK + MARK in x else self._tokens(x)
 
-    def unit(self, s: str) -> list[int]:
-        """Ids of a part of a text, spaces written as marks."""
         out, at = [], 0
         for m in self.other.finditer(s):
-            out += self._tokens(s[at : m.start()]) + self._spell(m[0])
+            out += part(s[at : m.start()])
+            out.append(NONE)
             at = m.end()
-        out += self._tokens(s[at:])
-        if self.loose and any(i >= len(self.text) for i in out):
-            out = [j for i in out for j in (self._spell(self.name[i]) if i >= len(self.text) else [i])]
+        return out + part(s[at:])
+
+    def unit(self, s: str) -> list[int]:
+        """Ids of a part of a text, spaces written as marks."""
+        out = self._merged(s) if MARK + MARK in s else self._tokens(s)
+        if NONE in out or self.loose and max(out, default=0) >= len(self.text):
+            at, spelled = 0, []
+            for i in out:
+                if i < 0 and s[at] in self.id:
+                    raise ValueError("no token found that ends at a letter of the model")
+                spelled += [i] if 0 <= i < len(self.text) else self._spell(s[at])
+                at += 1 if i < 0 else self.length[i]
+            return spelled
         return out
 
     def encode(self, texts: pa.Array) -> pa.LargeListArray:
